@@ -1,0 +1 @@
+"""Reserved: the engine answers batch queries only and defines no stream operator."""
