@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfrag.llm import token_counts
+from kinfrag.llm import kd_shards, mixing, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,62 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
+
+
+#: Rules of op5, and the listed urls that decide where no rule fits.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+LISTED_URLS = [
+    ("block", f"{host}/")
+    for host in ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = url_filter.entries(spark, URL_RULES, "rule").unionByName(url_filter.entries(spark, LISTED_URLS, "listed"))
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), listed)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_kd_shards": op4_kd_shards,
+        "op5_url_filter": op5_url_filter,
+        "op6_mixing": op6_mixing,
     }
 
 
+def _op5_sql() -> str:
+    listed = ", ".join(
+        f"({i}, '{v}', '{k}', '{k.partition('/')[0]}', '/{k.partition('/')[2]}')"
+        for i, rules in ((1, URL_RULES), (0, LISTED_URLS))
+        for v, k in rules
+    )
+    return f"""
+WITH l(is_rule, verdict, key, own_host, own_path) AS (VALUES {listed}),
+r AS (
+  SELECT row_number() OVER () AS row_id, page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+u AS (
+  SELECT row_id, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM r),
+m AS (
+  SELECT u.*, l.*, row_number() OVER (PARTITION BY row_id ORDER BY is_rule DESC NULLS LAST, length(key) DESC, key) AS place
+  FROM u LEFT JOIN l ON (host = own_host OR ends_with(host, '.' || own_host)) AND starts_with(path, own_path))
+SELECT page_id, host, path, CASE WHEN is_rule = 1 THEN key END AS rule, coalesce(verdict, 'allow') AS verdict
+FROM m WHERE place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": _op5_sql(),
+    }
