@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfrag.llm import kd_shards, mixing, quality, token_counts, url_filter
+from kinfrag.llm import decontaminate, kd_shards, mixing, quality, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
         "op9_quality": op9_quality,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
@@ -77,7 +82,28 @@ FROM m WHERE place = 1
 """
 
 
+def _op10_sql() -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM b)),
+dg AS (SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
+       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM bw))),
+m AS (SELECT rid, item_id, s, n FROM dg JOIN bw USING (n, g)),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM m) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+      FROM (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS x FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_url_filter": _op5_sql(),
+        "op10_decontaminate": _op10_sql(),
     }
