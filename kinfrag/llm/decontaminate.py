@@ -85,15 +85,21 @@ def build_index(docs: DataFrame, leads: DataFrame, rows: int) -> DataFrame:
 
 def phrase_matches(index: DataFrame, leads: DataFrame, rows: int) -> DataFrame:
     """Every exact occurrence of a phrase: ``k1``, ``k2``, ``phrase``, ``start`` and ``length``."""
-    lists = index.join(small(leads, rows), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    wanted = F.least(F.lit(LEADERS), F.size("words"))
+    # Lists meet without payload, phrases by hash; only what is left is given its surroundings again.
+    known = leads.withColumn("id", F.xxhash64("phrase"))
+    narrow = known.select("id", "term", "offset", "rank", F.least(F.lit(LEADERS), F.size("words")).alias("wanted"))
     found = (
-        lists.groupBy("k1", "k2", "phrase", "start")
-        .agg(F.count_distinct("rank").alias("lists"), F.min(F.struct("rank", "offset", "before", "around", "words")).alias("rarest"))
-        .select("k1", "k2", "phrase", "start", "lists", "rarest.*")
+        index.select("k1", "k2", "term", "pos")
+        .join(small(narrow, rows), "term")
+        .withColumn("start", F.col("pos") - F.col("offset"))
+        .where("start >= 0")
+        .groupBy("k1", "k2", "id", "start")
+        .agg(F.count("*").alias("lists"), F.max("wanted").alias("wanted"))
+        .where(F.col("lists") == F.col("wanted"))
     )
+    led = found.join(small(known.where("rank = 0"), rows), "id").withColumn("pos", F.col("start") + F.col("offset"))
     here = F.slice("around", F.col("before") - F.col("offset") + 1, F.size("words"))
-    return found.where((F.col("lists") == wanted) & (here == F.col("words"))).select("k1", "k2", "phrase", "start", F.size("words").alias("length"))
+    return led.join(index, ["k1", "k2", "term", "pos"]).where(here == F.col("words")).select("k1", "k2", "phrase", "start", F.size("words").alias("length"))
 
 
 def near_matches(index: DataFrame, leads: DataFrame, rows: int, slop: int) -> DataFrame:
