@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfrag.llm import decontaminate, kd_shards, language, mixing, near_dups, quality, token_counts, url_filter
+from kinfrag.llm import decontaminate, kd_shards, language, mixing, near_dups, quality, repeats, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_dups(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_kd_shards": op4_kd_shards,
         "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
+        "op7_repeats": op7_repeats,
         "op8_near_dups": op8_near_dups,
         "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,

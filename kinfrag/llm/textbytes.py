@@ -21,7 +21,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two families of hashes; spans are equal only if they are in both.
+_BYTE = [np.random.default_rng(i).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (7, 8)]
 _BASE = 0x9E3779B97F4A7C15
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -44,11 +45,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """A hash of each span ``data[start:end]``, which depends on its bytes alone."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTE[family][data] * up[:-1], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
