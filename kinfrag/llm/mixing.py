@@ -23,7 +23,7 @@ from kinfrag.plans.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; slots of one generating row; times that a source may be repeated.
-BLOCK_WORDS, CHUNK, MOST = 64, 65_536, 3
+BLOCK_WORDS, CHUNK, MOST = 64, 16_384, 3
 #: Rounds of the permutation, and what all draws depend on.
 SWAPS, SEED = 10, 20_240_601
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -72,7 +72,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
     return ranked.withColumn("target", F.least("bound", water * F.col("weight"))).select("skey", "source", "source_size", "target")
 
 
-def slots(targets: DataFrame, block: int, shards: int) -> DataFrame:
+def slots(targets: DataFrame, block: int, shards: int, tasks: int = 1) -> DataFrame:
     """One row for each slot: ``skey``, ``pass``, ``slot``, ``block``, ``shard`` and ``words`` (from the block's start)."""
     size, per = F.col("source_size"), F.lit(block)
     plan = (
@@ -88,7 +88,7 @@ def slots(targets: DataFrame, block: int, shards: int) -> DataFrame:
         .withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("key"), backwards=True))
         .withColumn("short_by", F.col("blocks") * per - size)
     )
-    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).repartition("skey", "pass", "chunk")
+    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).repartition(tasks, "skey", "pass", "chunk")
     dealt = chunks.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")))
     before = F.col("slot") * per - F.when(F.col("slot") > F.col("short_at"), F.col("short_by")).otherwise(F.lit(0))
     length = per - F.when(F.col("slot") == F.col("short_at"), F.col("short_by")).otherwise(F.lit(0))
@@ -123,12 +123,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         F.xxhash64("text").alias("hash"),
     )
     rows = materialize(rows, "mix-sizes")
-    count = rows.count()
+    count, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = source_targets(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")))
     lined = running_sum(rows.where("size > 0"), "skey", ["doc_id", "hash"], F.col("size"), count, "start")
 
     taken = (
-        slots(targets, block, shards)
+        slots(targets, block, shards, max(1, words // block // CHUNK))
         .groupBy("skey", "block")
         .agg(F.sort_array(F.collect_list("words")).alias("takes"))  # one for each pass: at most MOST + 1
     )
@@ -139,7 +139,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     )
     overlap = F.aggregate("takes", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.lit(0), F.least(F.col("b"), w) - F.col("a")).cast("long"))
     by_doc = (
-        pieces.join(taken, ["skey", "block"], "left")
+        # Both sides grow with the words, which the planner can't tell from the few rows of targets.
+        pieces.join(taken.hint("merge"), ["skey", "block"], "left")
         .groupBy("skey", "start", "doc_id", "size")
         .agg(F.sum(F.coalesce(overlap, F.lit(0))).alias("taken"))
         .select("doc_id", "skey", "size", "taken")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one window of a running sum holds, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_096
 
 
 def running_sum(df: DataFrame, group: str, order: list[str], weight: Column, rows: int, out: str) -> DataFrame:
