@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfrag.llm import decontaminate, kd_shards, language, mixing, near_dups, quality, repeats, token_counts, url_filter
+from kinfrag.llm import decontaminate, html_text, kd_shards, language, mixing, near_dups, quality, repeats, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_language": op2_language,
+        "op3_html_text": op3_html_text,
         "op4_kd_shards": op4_kd_shards,
         "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
