@@ -7,7 +7,7 @@ positions shifted by the terms' offsets, the rarest first, and what is left is c
 word with the posting's surroundings, so a match is exact.
 
 Documents are known by a hash of their text, so a group of copies is indexed once. The terms of
-the benchmark and its phrases are broadcast only while their counted number is under ``BROADCAST``;
+the benchmark and its phrases are broadcast only while their counted number is under ``keys.BROADCAST``;
 beyond, the same joins are shuffled. Texts are read three times and never shuffled.
 """
 
@@ -16,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfrag.llm.keys import small, text_key
 from kinfrag.llm.url_filter import LOWER, UPPER
 from kinfrag.plans.scratch import materialize
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, terms of it that lead to it, and percent of a document that makes it contaminated.
 WINDOW, LEADERS, PERCENT = 13, 2, 5
-BROADCAST = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -31,14 +31,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lowered, BREAK), ""), F.array().cast("array<string>"))
 
 
-def text_key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST else df
-
-
 def phrases_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each item and window of it: ``item_id``, ``phrase`` and its ``words``."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("all")).where(F.size("all") > 0)
@@ -116,8 +108,8 @@ def near_matches(index: DataFrame, leads: DataFrame, rows: int, slop: int) -> Da
     return first.join(second, ["k1", "k2", "phrase", "cell"]).where(F.abs(off) <= slop).select("k1", "k2", "phrase", "start", off.alias("off"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
-    """Per document: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
+def judged_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+    """Per document: ``doc_id``, ``k1``, ``k2`` (of its text), ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
     ``n_hit`` counts the words inside any occurrence of a window; ``contaminated`` if there are some
     and they are ``percent`` of all words or more. Null and empty texts have no words; an item
@@ -151,6 +143,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     return (
         rows.join(by_text, ["k1", "k2"], "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
+        .select("doc_id", "k1", "k2", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
     )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+    """``judged_documents`` without the keys of the texts."""
+    return judged_documents(docs, benchmark, window, percent).drop("k1", "k2")

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfrag.llm.keys import text_key
 from kinfrag.llm.running import running_sum
 from kinfrag.plans.scratch import materialize
 
@@ -29,6 +30,10 @@ SWAPS, SEED = 10, 20_240_601
 WEIGHTS = (1.0, 2.0, 3.0)
 
 
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey")
+
+
 def permuted(index: Column, n: Column, key: Column, backwards: bool = False) -> Column:
     """The place of ``index`` (0 to n-1) in a pseudorandom permutation of ``key``, or its inverse."""
     rounds = F.sequence(F.lit(SWAPS - 1), F.lit(0), F.lit(-1)) if backwards else F.sequence(F.lit(0), F.lit(SWAPS - 1))
@@ -106,8 +111,8 @@ def slots(targets: DataFrame, block: int, shards: int, tasks: int = 1) -> DataFr
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK_WORDS, shards: int = 64) -> DataFrame:
-    """Per document: ``doc_id``, ``size`` (words), ``source_size``, ``target`` (its source's) and ``taken``.
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK_WORDS, shards: int = 64) -> DataFrame:
+    """Per document: ``doc_id``, ``skey``, ``k1``, ``k2`` (of source and text), ``size`` (words), ``source_size``, ``target`` (its source's) and ``taken``.
 
     ``taken`` counts the document's words in all slots, repeats too, and is at most ``MOST`` times
     its size; a source's taken words are its target, rounded. Documents without a word (null and
@@ -118,14 +123,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     rows = docs.select("doc_id", "source", "text").select(
         "doc_id",
         "source",
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
+        source_key(),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("text").alias("hash"),
+        *text_key(F.col("text")),
     )
     rows = materialize(rows, "mix-sizes")
     count, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = source_targets(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")))
-    lined = running_sum(rows.where("size > 0"), "skey", ["doc_id", "hash"], F.col("size"), count, "start")
+    lined = running_sum(rows.where("size > 0"), "skey", ["doc_id", "k1", "k2"], F.col("size"), count, "start")
 
     taken = (
         slots(targets, block, shards, max(1, words // block // CHUNK))
@@ -133,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         .agg(F.sort_array(F.collect_list("words")).alias("takes"))  # one for each pass: at most MOST + 1
     )
     pieces = (
-        lined.select("doc_id", "skey", "size", "start")
+        lined.select("doc_id", "k1", "k2", "skey", "size", "start")
         .withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
         .withColumns({"a": F.greatest(F.lit(0), F.col("start") - F.col("block") * block), "b": F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block)})
     )
@@ -141,9 +146,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     by_doc = (
         # Both sides grow with the words, which the planner can't tell from the few rows of targets.
         pieces.join(taken.hint("merge"), ["skey", "block"], "left")
-        .groupBy("skey", "start", "doc_id", "size")
+        .groupBy("skey", "start", "doc_id", "k1", "k2", "size")
         .agg(F.sum(F.coalesce(overlap, F.lit(0))).alias("taken"))
-        .select("doc_id", "skey", "size", "taken")
+        .select("doc_id", "skey", "k1", "k2", "size", "taken")
     )
-    none = rows.where("size = 0").select("doc_id", "skey", "size", F.lit(0).cast("long").alias("taken"))
-    return by_doc.unionByName(none).join(targets, "skey").select("doc_id", "size", "source_size", "target", "taken")
+    none = rows.where("size = 0").select("doc_id", "skey", "k1", "k2", "size", F.lit(0).cast("long").alias("taken"))
+    return by_doc.unionByName(none).join(targets, "skey").select("doc_id", "skey", "k1", "k2", "size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK_WORDS, shards: int = 64) -> DataFrame:
+    """``mixed_documents`` without the keys."""
+    return mixed_documents(docs, weights, block, shards).drop("skey", "k1", "k2")
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, at most ``MOST`` times each.
+
+    A document of which a part of its words is taken is rounded to a whole number of copies by a hash, so
+    that a source's words are those of its target on average. Equal rows count together.
+    """
+    own = docs.columns
+    luck = F.pmod(F.xxhash64(F.lit(SEED), F.lit("round"), "doc_id", "skey", "k1", "k2"), F.lit(1_000_000)) / 1_000_000
+    copies = mixed_documents(docs, weights).where("size > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + luck)).groupBy(F.xxhash64("doc_id").alias("__k3"), F.col("skey").alias("__s"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    k1, k2 = text_key(F.col("text"))
+    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"), F.xxhash64("doc_id").alias("__k3"), source_key().alias("__s"))
+    once = keyed.join(copies, ["__k1", "__k2", "__k3", "__s"]).dropDuplicates(["__k1", "__k2", "__k3", "__s"])
+    return once.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*own)

@@ -197,8 +197,8 @@ def tables(classes: DataFrame) -> DataFrame:
     return keys.join(full, "key")
 
 
-def near_dups(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+def grouped_documents(docs: DataFrame) -> DataFrame:
+    """Per document: ``doc_id``, ``k1``, ``k2`` (of its text), ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents whose sets of distinct shingles of ``SHINGLE`` words (A-Z in lower case) have a
     similarity of ``PERCENT`` percent or more are linked; ``component_id`` is the smallest id that a
@@ -259,6 +259,11 @@ def near_dups(docs: DataFrame) -> DataFrame:
 
     whole = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component")), "root").select("d1", "d2", "component")
-    linked = rows.where("n > 0").join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = rows.where("n > 0").join(named, ["d1", "d2"]).select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = rows.where("n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_dups(docs: DataFrame) -> DataFrame:
+    """``grouped_documents`` without the keys of the texts."""
+    return grouped_documents(docs).drop("k1", "k2")

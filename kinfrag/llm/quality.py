@@ -4,8 +4,8 @@ One pass over the texts counts what rules look at (words, symbols, repeated line
 capitals, ends of sentences), and all later steps read these counts alone. Trees split a random
 statistic at a random place until rows stand alone; a document that few splits set apart is odd.
 
-A rule's statistic is how far a document goes beyond that rule's soft limit, which all but
-``TAIL`` of the labelled good rows keep; thus ordinary documents are all alike and none of them is odd
+A rule's statistic is how far a document goes beyond that rule's soft limit, ``MARGIN`` times what
+all but ``TAIL`` of the labelled good rows keep to; thus ordinary documents are all alike and none of them is odd
 for being long, or for a habit that good ones have too. The trees are grown from a bounded sample of
 all documents (``SAMPLE`` rows), and the bound on a document's mean path is set from histograms over
 every labelled row.
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfrag.llm.keys import text_key
 from kinfrag.llm.textbytes import chunks, mixed, per_text, span_hashes, word_spans
 from kinfrag.plans.scratch import materialize
 
@@ -29,6 +30,8 @@ from kinfrag.plans.scratch import materialize
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rows that the trees are grown from, at most; share of good labelled rows beyond a soft limit.
 SAMPLE, TAIL = 20_000, 0.001
+#: Times the soft limit from which on a document is beyond it.
+MARGIN = 1.25
 TREES, TREE_ROWS, SEED = 128, 256, 11
 #: Bins of the path lengths, and the share of good labelled rows that the bound may reject.
 BINS, FALSE_REJECTS = 2_000, 0.002
@@ -100,15 +103,15 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id`` and the ``COUNTS`` of its whole text."""
-    narrow = docs.select(F.col("doc_id"), F.col("text").alias("text"))
-    schema = T.StructType([narrow.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    """Per document: ``doc_id``, ``k1``, ``k2`` (of its text) and the ``COUNTS`` of its whole text."""
+    narrow = docs.select("doc_id", *text_key(F.col("text")), F.col("text").alias("text"))
+    schema = T.StructType([*narrow.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in chunks(batch.column(1)):
+            for row, end, data, offsets in chunks(batch.column(3)):
                 found = count_texts(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[row:end] for i in range(3)), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=schema.names)
 
     return narrow.mapInArrow(run, schema)
 
@@ -132,7 +135,7 @@ def excess(soft: list[float]) -> list[Column]:
 
 def soft_limits(good: DataFrame) -> list[float]:
     found = good.agg(*(F.percentile_approx(f, 1 - TAIL, 10_000).alias(f"f{i}") for i, f in enumerate(features()))).first()
-    return list(SOFT) if found["f0"] is None else list(found)
+    return list(SOFT) if found["f0"] is None else [MARGIN * x for x in found]
 
 
 WIDTH = 6
@@ -240,8 +243,8 @@ def bound(paths: DataFrame) -> float:
     return float(best[len(best) // 2]) / BINS
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
+def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per document: ``doc_id``, ``k1``, ``k2`` (of its text), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept`` and ``path`` (the forest's mean path).
 
     ``base_failed`` documents go; of the others those whose path is under the bound go too. ``labels``
@@ -261,5 +264,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest = grow(sample) if len(sample) else None
     limit = bound(scored(marked.drop("quality"), forest, soft).join(marks, "doc_id")) if forest else UNLABELLED_BOUND
     return scored(stats, forest, soft).select(
-        "doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & (F.col("path") >= F.lit(limit))).alias("kept"), "path"
+        "doc_id", "k1", "k2", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & (F.col("path") >= F.lit(limit))).alias("kept"), "path"
     )
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``judged_documents`` without the keys of the texts."""
+    return judged_documents(docs, labels).drop("k1", "k2")

@@ -4,7 +4,7 @@ import re
 
 import duckdb
 
-from kinfrag.llm import catalog, decontaminate
+from kinfrag.llm import catalog, decontaminate, keys
 
 
 def words(text):
@@ -51,7 +51,7 @@ def test_equals_brute_force(spark, monkeypatch):
     bench += [(None, "w1 w2 w3"), (99, None), (98, ""), (97, "!!"), (5, "w4 w5 the w6"), (96, "zzz unseen term")]
     check(spark, docs, bench)
     check(spark, docs, bench, window=3)
-    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    monkeypatch.setattr(keys, "BROADCAST", 0)
     check(spark, docs, bench)
 
 
