@@ -2,8 +2,8 @@
 
 The tree splits the node's widest metadata dimension at a weighted quantile of the bytes: a node
 that is to become k shards is cut at floor(k/2)/k of its bytes, down to one shard. All quantiles of
-a level are found together and exactly, by three rounds of histograms that narrow a 60-bit key (24
-bits of the dimension, 36 of the text's hash) by 20 bits each. Only the bin that the quantile falls
+a level are found together and exactly, by four rounds of histograms that narrow a 60-bit key (24
+bits of the dimension, 36 of the text's hash) by 15 bits each. Only the bin that the quantile falls
 into comes to the driver, one row for each node. A document's shard is then an expression over its
 own metadata: nothing is joined, and no key is hot.
 
@@ -24,7 +24,7 @@ from kinfrag.plans.scratch import materialize
 SHARDS = 24
 #: Bytes that a row has besides its text.
 ROW_BYTES = 8
-STEP, ROUNDS, TIE_BITS = 20, 3, 36
+STEP, ROUNDS, TIE_BITS = 15, 4, 36
 #: The dimensions with the bounds of their values: logarithm of the size, share of bytes that
 #: continue a character, and checksum.
 DIMENSIONS = {"log_size": (0.0, 44.0), "wide": (0.0, 1.0), "crc": (0.0, 2.0**32)}
