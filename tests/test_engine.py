@@ -98,7 +98,7 @@ def test_unsound_shapes_run_as_they_are(spark, engines, sql):
 
 def test_relaxing_what_cannot_be(engines):
     made, _ = engines
-    for sql in ("SELECT p.id FROM INFO p LEFT JOIN ILL i ON p.id = i.id WHERE i.disease = 'Cough'", "SELECT id FROM ILL WHERE disease = 'Cough' UNION SELECT id FROM INFO"):
+    for sql in ("SELECT p.id FROM INFO p LEFT JOIN ILL i ON p.id = i.id WHERE i.disease = 'Cough'", "SELECT id FROM ILL WHERE disease = 'Cough' UNION SELECT id FROM INFO", "SELECT i.id FROM ILL i WHERE i.disease = 'Cough' OR i.id > 5", "SELECT i.id FROM ILL i, ILL j WHERE i.id = j.id AND disease = 'Cough'"):
         with pytest.raises(UnsupportedQuery):
             made.sql(sql, relaxed=True)
     for term in ("Unheard Of", "Nothing"):
