@@ -2,9 +2,10 @@
 
 A document's bands come from two collections of ``SIDE`` hashes, each of ``ROWS`` minima; a table key
 combines one hash of either, so ``SIDE * SIDE`` tables need only ``2 * SIDE * ROWS`` minima. At a
-similarity of 0.75 a pair meets in a table unless one whole collection fails: all but 0.1 % meet.
+similarity of 0.75 a pair meets in a table unless one whole collection fails: all but 0.05 % meet.
 
-Documents with the same set are one class, and only classes go on. In each bucket every class is
+Documents with the same set (by a hash of 128 bits) are one class, known by the first half of it, and only
+classes go on. In each bucket every class is
 compared with the bucket's hub (the class that meets most others) on full sets. Buckets whose members
 are then not all connected are settled exactly: all their members' sets meet in one task, which
 counts common shingles through an index of them, and of very large buckets every two blocks meet.
@@ -28,7 +29,7 @@ from kinfrag.plans.scratch import materialize
 
 SHINGLE, PERCENT = 5, 75
 #: Hashes of each of the two collections, and minima of each hash.
-SIDE, ROWS = 9, 2
+SIDE, ROWS = 10, 2
 #: Classes of a block, and shingles of it, about, where a bucket is too large for one task.
 BLOCK, BLOCK_SHINGLES = 1_024, 1_000_000
 #: Keys of texts to read again that are broadcast, at most.
