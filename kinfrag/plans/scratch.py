@@ -1,7 +1,8 @@
 """Tables written between the steps of an iterative plan.
 
-They go to the shared folder that the session names in ``spark.checkpoint.dir``; only where
-that is unset (local tests) a folder beside the warehouse is used.
+They go to the shared folder that the session names in ``spark.checkpoint.dir`` (or has set as its
+checkpoint directory); only where there is none (local tests) a folder beside the warehouse is used.
+Results may read them until ``sweep`` deletes them.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return root.rstrip("/")
@@ -23,4 +26,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this session has written so far, and say how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
