@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from kinfrag.plans.scratch import materialize
 
+#: Edges of one file of a round, about, so that the last rounds don't read many small ones.
+FILE_EDGES = 50_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,12 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node that it reaches) of every node of ``edges`` (long ``a`` and ``b``)."""
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "component-edges")
-    mark = None
+    mark, count = None, edges.count()
     while True:
-        edges = materialize(_stars(_stars(edges, True), False), "component-edges")
+        edges = materialize(_stars(_stars(edges, True), False).coalesce(1 + count // FILE_EDGES), "component-edges")
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, count = seen, seen[0]
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
