@@ -47,7 +47,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

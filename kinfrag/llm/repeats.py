@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfrag.llm.anchors import SPAN, WINDOW, found
-from kinfrag.llm.textbytes import chunks, mixed, span_hashes
+from kinfrag.llm.textbytes import ROWS, chunks, mixed, span_hashes
 from kinfrag.plans.scratch import materialize
 
 #: Different surroundings of one anchor that meet in a task; of several anchors that are worked on together.
-LARGE, TOGETHER = 16_384, 8_192
+LARGE, TOGETHER = 16_384, 2_048
+#: Surroundings whose windows are hashed at once.
+SLAB = 2_048
 #: Removed spans of all documents that are broadcast, at most.
 BROADCAST = 500_000
 
+NAMES = "h long, c long, n long"
 ANCHOR = "h long, c long, k1 long, k2 long, at int, first int, last int"
 
 
@@ -44,22 +47,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("k2"), F.col("text").alias("text"))
 
 
-def anchor_rows(texts: DataFrame, names_only: bool) -> DataFrame:
-    """The anchors of all texts; with ``names_only`` their ``h`` and ``c`` alone."""
-    schema = T._parse_datatype_string("h long, c long" if names_only else ANCHOR)
-    columns = texts.select("text") if names_only else texts
+def anchor_names(texts: DataFrame) -> DataFrame:
+    """``h``, ``c`` and ``n`` (their number) of the anchors of each chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, data, offsets in chunks(batch.column(batch.num_columns - 1)):
+            for _, _, data, offsets in chunks(batch.column(0)):
+                parts = [(h, c) for _, _, h, c, _, _ in found(data, offsets)]
+                h, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                order = np.lexsort((c, h))
+                h, c = h[order], c[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))[: len(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(c[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h))).astype(np.int64))], names=["h", "c", "n"])
+
+    return texts.select("text").mapInArrow(run, NAMES)
+
+
+def anchor_rows(texts: DataFrame) -> DataFrame:
+    """The anchors of all texts: ``h``, ``c``, ``k1``, ``k2``, ``at``, ``first`` and ``last``."""
+    schema = T._parse_datatype_string(ANCHOR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, data, offsets in chunks(batch.column(2)):
                 for text, at, h, c, first, last in found(data, offsets):
                     out = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64))]
-                    if not names_only:
-                        out += [batch.column(i).take(pa.array(text + row)) for i in (0, 1)]
-                        out += [pa.array(x.astype(np.int32)) for x in (at, first, last)]
+                    out += [batch.column(i).take(pa.array(text + row)) for i in (0, 1)]
+                    out += [pa.array(x.astype(np.int32)) for x in (at, first, last)]
                     yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return columns.mapInArrow(run, schema)
+    return texts.select("k1", "k2", "text").mapInArrow(run, schema)
 
 
 def surroundings(texts: DataFrame) -> DataFrame:
@@ -83,11 +100,15 @@ def surroundings(texts: DataFrame) -> DataFrame:
 
 def window_names(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Both names of each window of rows of ``surroundings``, its row, and the window's place."""
+    parts = [_window_names(table.slice(i, SLAB), i) for i in range(0, table.num_rows, SLAB)]
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+
+
+def _window_names(table: pa.Table, above: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     get = lambda c: table.column(c).to_numpy().astype(np.int64)
-    around = table.column("around").combine_chunks()
-    around = around.chunk(0) if isinstance(around, pa.ChunkedArray) else around
-    sizes = np.array([len(x) for x in around.to_pylist()], np.int64)
-    data = np.frombuffer(b"".join(around.to_pylist()), np.uint8)
+    around = table.column("around").to_pylist()
+    sizes = np.array([len(x) for x in around], np.int64)
+    data = np.frombuffer(b"".join(around), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     first, count = get("first"), get("last") - get("first") + 1
     row = np.repeat(np.arange(len(first)), count)
@@ -97,7 +118,7 @@ def window_names(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     anchor = mixed(get("h").astype(np.uint64)[row] + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     one = mixed(span_hashes(data, start, start + WINDOW) + anchor)
     two = mixed(span_hashes(data, start, start + WINDOW, 1) ^ anchor)
-    return one, two, row, place
+    return one, two, (row + above).astype(np.int32), place.astype(np.int32)
 
 
 def pieces(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,25 +201,24 @@ def merged(runs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """The spans of bytes to remove: ``k1``, ``k2`` (see ``keyed``) and ``spans`` (begin and end), where there are some."""
     texts = keyed(docs.where(F.octet_length("text") >= WINDOW)).drop("doc_id")
-    contexts = anchor_rows(texts, True).groupBy("h", "c").agg(F.count("*").alias("n"))
+    # Names of a chunk are counted before they move, and move once, by the anchor's name alone.
+    contexts = anchor_names(texts).repartition("h").groupBy("h", "c").agg(F.sum("n").alias("n"))
     by_name = contexts.groupBy("h").agg(F.count("*").alias("g"), F.sum("n").alias("all")).where("all > 1").select("h", "g")
     known = materialize(contexts.join(by_name, "h"), "repeat-names")
-    rows = materialize(anchor_rows(texts, False).join(known.hint("merge"), ["h", "c"]), "repeat-anchors")
+    rows = materialize(anchor_rows(texts).join(known.hint("merge"), ["h", "c"]), "repeat-anchors")
 
     rep = F.min(F.struct("k1", "k2", "at", "first", "last")).alias("rep")
     asked = rows.where("g > 1").groupBy("h", "c").agg(F.first("g").alias("g"), F.first("n").alias("n"), rep).select("h", "g", "n", "rep.*")
-    asked = materialize(asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "n", "at", "first", "last")).alias("anchors")), "repeat-asked")
-    small = asked.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    around = surroundings(texts.join(F.broadcast(asked) if small <= BROADCAST else asked, ["k1", "k2"]))
-    around = materialize(around, "repeat-around")
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "n", "at", "first", "last")).alias("anchors"))
+    around = surroundings(texts.join(asked.hint("merge"), ["k1", "k2"]))
     some = settle(around.where(F.col("g") <= LARGE))
-    if around.where(F.col("g") > LARGE).limit(1).count():
+    if (known.agg(F.max("g")).first()[0] or 0) > LARGE:
         some = some.unionByName(settle_large(around.where(F.col("g") > LARGE)))
     return merged(rows.where("n > 1").select("k1", "k2", "first", "last").unionByName(some))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (its bytes).
+def repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+    """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``with_kept`` ``kept`` (its bytes).
 
     A byte is removed if a string of ``WINDOW`` bytes that covers it starts anywhere else too, in the
     same document or another, overlaps counted; strings never cross documents and are judged on the
@@ -210,20 +230,26 @@ def repeats(docs: DataFrame) -> DataFrame:
     small = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     joined = keyed(docs).join(F.broadcast(spans) if small <= BROADCAST else spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([joined.schema["doc_id"], *fields, T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    kept_field = [T.StructField("kept", T.BinaryType())] if with_kept else []
+    schema = T.StructType([joined.schema["doc_id"], *fields, T.StructField("kept_sha256", T.StringType()), *kept_field])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: len(schema) - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                kept, at = [], 0
-                for s in spans or ():
-                    kept.append(raw[at : s["a"]])
-                    at = s["b"]
-                rest = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(rest), len(spans or ()), hashlib.sha256(rest).hexdigest(), rest))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 3 + (pa.string(), pa.binary()), strict=True))], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                out = [cut(text, spans) for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+def cut(text: str | None, spans: list[dict[str, int]] | None) -> tuple[int, int, int, str, bytes]:
+    """Bytes of a text, those in ``spans``, number of spans, and the hash of what is left with it itself."""
+    raw = (text or "").encode()
+    kept, at = [], 0
+    for s in spans or ():
+        kept.append(raw[at : s["a"]])
+        at = s["b"]
+    rest = b"".join([*kept, raw[at:]])
+    return len(raw), len(raw) - len(rest), len(spans or ()), hashlib.sha256(rest).hexdigest(), rest

@@ -7,13 +7,14 @@ sums, so that all spans of a chunk are hashed at once.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on together; a longer text makes a chunk of its own.
-CHUNK = 2_000_000
+#: Bytes and rows of text that are worked on together; a longer text makes a chunk of its own.
+CHUNK, ROWS = 2_000_000, 512
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,18 +25,17 @@ LOWER[0x41:0x5B] += 0x20
 #: Two families of hashes; spans are equal only if they are in both.
 _BYTE = [np.random.default_rng(i).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (7, 8)]
 _BASE = 0x9E3779B97F4A7C15
-_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
-    if len(_tables[0]) < n:
-        size = max(n, CHUNK)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _tables[i] = np.multiply.accumulate(table)
-    return _tables[0][:n], _tables[1][:n]
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, as many as a chunk has places."""
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        table = np.full(CHUNK + 1, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,12 +45,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    """The polynomials of spans of at most ``CHUNK`` bytes of data."""
+    up, down = powers()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[family][data] * up[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """A hash of each span ``data[start:end]``, which depends on its bytes alone."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[family][data] * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = len(powers()[0]) - 1
+    if len(data) <= size:
+        out = _sums(data, starts, ends, family)
+    else:
+        out, order = np.zeros(len(starts), np.uint64), np.argsort(starts, kind="stable")
+        at, begins = 0, starts[order]
+        while at < len(order):
+            low = int(begins[at])
+            stop = int(np.searchsorted(begins, low + size // 2 + 1))
+            own = order[at:stop]
+            inside = ends[own] <= low + size
+            own, long = own[inside], own[~inside]
+            out[own] = _sums(data[low : low + size], starts[own] - low, ends[own] - low, family)
+            for i in long:  # a span of more bytes is the sum of its parts, each raised to its place
+                s, total = int(starts[i]), 0
+                for p in range(s, int(ends[i]), size):
+                    part = data[p : min(p + size, int(ends[i]))]
+                    total += int(_sums(part, np.array([0]), np.array([len(part)]), family)[0]) * pow(_BASE, p - s, 2**64)
+                out[i] = total % 2**64
+            at = stop
+    return mixed(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +99,21 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
     Nulls are empty texts. The last offset is the end of the bytes.
     """
-    column = column.cast(pa.large_string()).fill_null("")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data or b"", np.uint8)
-    row = 0
-    while row < len(column):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
-        yield row, end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
-        row = end
+    for above in range(0, len(column), ROWS):
+        part = column.slice(above, ROWS)
+        if part.null_count:
+            part = part.fill_null("")
+        _, offsets, data = part.buffers()
+        size = np.int64 if pa.types.is_large_string(part.type) else np.int32
+        at = np.frombuffer(offsets, size)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        raw = np.frombuffer(data or b"", np.uint8)
+        row = 0
+        while row < len(part):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
+            yield above + row, above + end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
+            row = end
 
 
 def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the bytes of each text are marked."""
-    sums = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
