@@ -32,6 +32,8 @@ PIECE = 1_000_000
 #: Bytes of new pre-tokens that are merged together.
 MERGE_BYTES = 300_000
 
+#: Where a long text may be cut: pre-tokens and normal forms are the same on either side.
+CUT = re.compile(r" (?=[A-Za-z])")
 #: No code point of these is assigned, though the matcher takes a few of them for letters.
 LETTERS = r"[\p{L}--[\U00032800-\U0003FFFF]]"
 #: U+0130 counts as beyond because its lower case has a combining mark.
@@ -143,12 +145,9 @@ class RankMerger:
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
-        while len(text) - at > PIECE:
-            cut = next((m.start() for m in re.finditer(r" (?=[A-Za-z])", text[at + PIECE :])), None)
-            if cut is None:
-                break
-            yield text[at : at + PIECE + cut]
-            at += PIECE + cut
+        while len(text) - at > PIECE and (found := CUT.search(text, at + PIECE)):
+            yield text[at : found.start()]
+            at = found.start()
         yield text[at:]
 
     def count(self, text: str) -> int:
