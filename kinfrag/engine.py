@@ -21,6 +21,9 @@ LISTED_TERMS = 1_000
 
 LAYOUTS = ("fragmented", "baseline")
 
+#: The store whose relations a session's views show, by application.
+_shown: dict[str, str] = {}
+
 
 class FragmentLookup(dict):
     """Fragments of terms, read from the assignment when they are first asked for."""
@@ -47,11 +50,18 @@ class Engine:
     store: Store
     layout: str = "fragmented"
     views: dict[str, str] = field(default_factory=dict)
+    routed: dict[tuple, Routed] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.layout not in LAYOUTS:
             raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}")
         self.spec = self.store.spec
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Read the store anew, after its relations or fragments have changed."""
+        self.routed.clear()
+        _shown.pop(self.spark.sparkContext.applicationId, None)
         self.lookup = FragmentLookup(self.store.assign)
         tag = uuid.uuid4().hex[:12]
         for name in self.spec.schemas:
@@ -77,8 +87,11 @@ class Engine:
 
     def register(self, fragments: bool = False) -> None:
         """Views by the relations' names, and with ``fragments`` one ``NAME_<i>`` for each fragment."""
-        for name in self.spec.schemas:
-            self.store.logical(name).createOrReplaceTempView(name)
+        session = self.spark.sparkContext.applicationId
+        if _shown.get(session) != self.store.path:
+            for name in self.spec.schemas:
+                self.store.logical(name).createOrReplaceTempView(name)
+            _shown[session] = self.store.path
         if fragments:
             for row in self.store.assign.select("frag_id").distinct().collect():
                 for name in self.spec.schemas:
@@ -92,7 +105,13 @@ class Engine:
         return ", ".join("'" + r["term"].replace("\\", "\\\\").replace("'", "\\'") + "'" for r in sorted(own))
 
     def explain_routing(self, sql: str, relaxed: bool = False, with_relaxed_term: bool = False, args: dict[str, Any] | None = None) -> Routed:
-        """The text that would run, and the fragments of each instance."""
+        """The text that would run, and the fragments of each instance; texts are routed once."""
+        key = (sql, relaxed, with_relaxed_term, repr(sorted((args or {}).items())))
+        if key not in self.routed:
+            self.routed[key] = self._route(sql, relaxed, with_relaxed_term, args)
+        return self.routed[key]
+
+    def _route(self, sql: str, relaxed: bool, with_relaxed_term: bool, args: dict[str, Any] | None) -> Routed:
         if self.layout == "baseline":
             if not relaxed:
                 return Routed(sql, {}, "baseline layout")

@@ -153,6 +153,17 @@ def test_derived_fragments_hold_each_person_once(engines, tables):
     assert store.logical("INFO").count() == 40
 
 
+def test_refresh_sees_changes(spark, tables, tmp_path):
+    sim = similarity.example(spark)
+    made = Engine.build(spark, str(tmp_path / "r"), tables, sim, similarity.terms_of(sim), 0.15)
+    sql = "SELECT i.id FROM ILL i WHERE i.disease = 'Cough'"
+    before = made.sql(sql).count()
+    made.store.append("ILL", spark.createDataFrame([(999, "Cough", "C")], ILL))
+    made.store.rebuild()
+    made.refresh()
+    assert made.sql(sql).count() == before + 1 == made.sql("SELECT id FROM ILL WHERE disease = 'Cough' OR false").count()
+
+
 def test_views_by_fragment_number(spark, engines):
     engines[0].register(fragments=True)
     assert {r.disease for r in spark.sql("SELECT disease FROM ILL_0").collect()} <= RESPIRATORY
