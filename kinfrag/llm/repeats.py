@@ -201,10 +201,10 @@ def merged(runs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """The spans of bytes to remove: ``k1``, ``k2`` (see ``keyed``) and ``spans`` (begin and end), where there are some."""
     texts = keyed(docs.where(F.octet_length("text") >= WINDOW)).drop("doc_id")
-    # Names of a chunk are counted before they move, and move once, by the anchor's name alone.
-    contexts = anchor_names(texts).repartition("h").groupBy("h", "c").agg(F.sum("n").alias("n"))
-    by_name = contexts.groupBy("h").agg(F.count("*").alias("g"), F.sum("n").alias("all")).where("all > 1").select("h", "g")
-    known = materialize(contexts.join(by_name, "h"), "repeat-names")
+    # Names are counted before they move; both sides of the join are plain shuffles, which Spark can split.
+    contexts = materialize(anchor_names(texts).groupBy("h", "c").agg(F.sum("n").alias("n")), "repeat-contexts")
+    by_name = materialize(contexts.groupBy("h").agg(F.count("*").alias("g"), F.sum("n").alias("all")).where("all > 1").select("h", "g"), "repeat-anchor-counts")
+    known = materialize(contexts.join(by_name.hint("merge"), "h"), "repeat-names")
     rows = materialize(anchor_rows(texts).join(known.hint("merge"), ["h", "c"]), "repeat-anchors")
 
     rep = F.min(F.struct("k1", "k2", "at", "first", "last")).alias("rep")
