@@ -1,7 +1,7 @@
 """Whole texts as arrays of UTF-8 bytes: words, lines and 64-bit hashes of any spans of them.
 
 Words are runs of bytes that are not ``0x20`` or ``0x09``-``0x0D``; these are ASCII, so words of
-bytes are words of characters. A span's hash is a polynomial of its bytes modulo 2**64, from prefix
+bytes are words of characters. A span's hash is a polynomial of its bytes modulo a prime of 61 bits, from prefix
 sums, so that all spans of a chunk are hashed at once.
 """
 
@@ -22,19 +22,36 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Two families of hashes; spans are equal only if they are in both.
-_BYTE = [np.random.default_rng(i).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (7, 8)]
-_BASE = 0x9E3779B97F4A7C15
+#: A Mersenne prime, and a base for each of two independent families of hashes.
+PRIME = 2**61 - 1
+BASES = (1_181_783_497_276_652_981 % PRIME, 767_130_331_852_047_469)
+_P = np.uint64(PRIME)
+_HALF, _HALF_MASK, _LOW, _LOW_MASK = np.uint64(31), np.uint64(2**31 - 1), np.uint64(30), np.uint64(2**30 - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit words modulo ``PRIME``."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of words under it, from halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _HALF, a & _HALF_MASK, b >> _HALF, b & _HALF_MASK
+    middle = a1 * b0 + a0 * b1
+    # 2**62 is 2, and 2**61 is 1, modulo the prime.
+    return reduced(np.uint64(2) * a1 * b1 + (middle >> _LOW) + ((middle & _LOW_MASK) << _HALF) + a0 * b0)
 
 
 @functools.cache
-def powers() -> tuple[np.ndarray, np.ndarray]:
+def powers(family: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse, as many as a chunk has places."""
     tables = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        table = np.full(CHUNK + 1, base, np.uint64)
-        table[0] = 1
-        tables.append(np.multiply.accumulate(table))
+    for base in (BASES[family], pow(BASES[family], -1, PRIME)):
+        table = np.ones(1, np.uint64)
+        while len(table) <= CHUNK:
+            table = np.concatenate([table, times(table, np.uint64(pow(base, len(table), PRIME)))])
+        tables.append(table[: CHUNK + 1])
     return tables[0], tables[1]
 
 
@@ -47,33 +64,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
     """The polynomials of spans of at most ``CHUNK`` bytes of data."""
-    up, down = powers()
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[family][data] * up[: len(data)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+    up, down = powers(family)
+    digit = data.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(len(starts), np.uint64)
+    # Sums of halves of the products are exact: no prefix of a chunk exceeds 64 bits.
+    for shift in (np.uint64(0), np.uint64(32)):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(digit * ((up[: len(data)] >> shift) & np.uint64(2**32 - 1)), out=sums[1:])
+        part = reduced(sums[ends] - sums[starts])
+        total = reduced(total + (times(part, np.uint64(2**32)) if shift else part))
+    return times(total, down[starts])
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """A hash of each span ``data[start:end]``, which depends on its bytes alone."""
-    size = len(powers()[0]) - 1
-    if len(data) <= size:
+    if len(data) <= CHUNK:
         out = _sums(data, starts, ends, family)
     else:
         out, order = np.zeros(len(starts), np.uint64), np.argsort(starts, kind="stable")
         at, begins = 0, starts[order]
         while at < len(order):
             low = int(begins[at])
-            stop = int(np.searchsorted(begins, low + size // 2 + 1))
+            stop = int(np.searchsorted(begins, low + CHUNK // 2 + 1))
             own = order[at:stop]
-            inside = ends[own] <= low + size
+            inside = ends[own] <= low + CHUNK
             own, long = own[inside], own[~inside]
-            out[own] = _sums(data[low : low + size], starts[own] - low, ends[own] - low, family)
+            out[own] = _sums(data[low : low + CHUNK], starts[own] - low, ends[own] - low, family)
             for i in long:  # a span of more bytes is the sum of its parts, each raised to its place
                 s, total = int(starts[i]), 0
-                for p in range(s, int(ends[i]), size):
-                    part = data[p : min(p + size, int(ends[i]))]
-                    total += int(_sums(part, np.array([0]), np.array([len(part)]), family)[0]) * pow(_BASE, p - s, 2**64)
-                out[i] = total % 2**64
+                for p in range(s, int(ends[i]), CHUNK):
+                    part = data[p : min(p + CHUNK, int(ends[i]))]
+                    total += int(_sums(part, np.array([0]), np.array([len(part)]), family)[0]) * pow(BASES[family], p - s, PRIME)
+                out[i] = total % PRIME
             at = stop
     return mixed(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

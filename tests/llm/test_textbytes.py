@@ -34,3 +34,20 @@ def test_words_end_at_cuts():
     data = np.frombuffer(b"ab cd\x0bef gh", np.uint8)
     starts, ends = tb.word_spans(data, np.array([0, 4, 6, 10, len(data)]))
     assert [bytes(data[s:e]) for s, e in zip(starts, ends, strict=True)] == [b"ab", b"c", b"d", b"ef", b"g", b"h"]
+
+
+def morse(n, flip):
+    return bytes(97 + (bin(i).count("1") + flip) % 2 for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_strings_that_collide_modulo_powers_of_two_do_not(n):
+    data = np.frombuffer(morse(n, 0) + morse(n, 1), np.uint8)
+    got = [tb.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]), family) for family in (0, 1)]
+    assert got[0][0] != got[0][1] and got[1][0] != got[1][1] and got[0][0] != got[1][0]
+
+
+def test_products_modulo_the_prime():
+    rng = np.random.default_rng(4)
+    a, b = (np.append(rng.integers(0, tb.PRIME, 500, dtype=np.uint64), np.uint64(tb.PRIME - 1)) for _ in range(2))
+    assert [int(x) * int(y) % tb.PRIME for x, y in zip(a, b, strict=True)] == tb.times(a, b).tolist()
