@@ -1,14 +1,16 @@
 """Benchmark decontamination by a positional inverted index of the documents.
 
 A benchmark item's windows are phrases. Each phrase is led by its rarest terms, by their counts over
-all documents; the index stores a posting (document, position, and the words around it that a phrase
-could ask for) for every occurrence of a leading term. A phrase's lists are intersected with their
-positions shifted by the terms' offsets, the rarest first, and what is left is compared word by
-word with the posting's surroundings, so a match is exact.
+all documents; the index stores a posting (document and position) for every occurrence of a leading
+term. A phrase's lists are intersected with their positions shifted by the terms' offsets, the rarest
+first. What is left is a few places of a document where a phrase would have to stand; the words there
+are cut out of the text, which is read once more for these documents alone, and compared with the
+phrase, so a match is exact.
 
 Documents are known by a hash of their text, so a group of copies is indexed once. The terms of
 the benchmark and its phrases are broadcast only while their counted number is under ``keys.BROADCAST``;
-beyond, the same joins are shuffled. Texts are read three times and never shuffled.
+beyond, the same joins are shuffled, and the postings of a term with many are dealt over several tasks.
+No text and no array of words is ever shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from kinfrag.plans.scratch import materialize
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, terms of it that lead to it, and percent of a document that makes it contaminated.
 WINDOW, LEADERS, PERCENT = 13, 2, 5
+#: Postings of a term that one task takes, about, where they are shuffled.
+TERM_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -45,7 +49,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
 
 
 def leading_terms(phrases: DataFrame, counts: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """The rarest terms of each phrase: ``phrase``, ``words``, ``term``, ``offset`` and ``rank`` from 0.
+    """The rarest terms of each phrase: ``id``, ``phrase``, ``wanted``, ``length``, ``term``, ``offset``, ``rank`` from 0 and ``salts``.
 
     A phrase with a term that no document has is left out: nothing can match it.
     """
@@ -55,43 +59,55 @@ def leading_terms(phrases: DataFrame, counts: DataFrame, leaders: int = LEADERS)
     ranked = known.withColumn("gaps", F.count(F.when(F.col("n").isNull(), 1)).over(by_phrase)).withColumn(
         "rank", F.row_number().over(by_phrase.orderBy("n", "term", "offset")) - 1
     )
-    return ranked.where((F.col("gaps") == 0) & (F.col("rank") < leaders)).select("phrase", "words", "term", "offset", "rank")
+    return ranked.where((F.col("gaps") == 0) & (F.col("rank") < leaders)).select(
+        F.xxhash64("phrase").alias("id"),
+        "phrase",
+        F.least(F.lit(leaders), F.size("words")).alias("wanted"),
+        F.size("words").alias("length"),
+        "term",
+        "offset",
+        "rank",
+        F.expr(f"n div {TERM_ROWS} + 1").alias("salts"),
+    )
 
 
 def build_index(docs: DataFrame, leads: DataFrame, rows: int) -> DataFrame:
-    """Postings of the leading terms: ``k1``, ``k2``, ``term``, ``pos``, ``before`` and ``around``.
-
-    ``around`` has the words from ``before`` places ahead of the position to as far as any phrase of
-    the term goes.
-    """
-    reach = leads.groupBy("term").agg(F.max("offset").alias("back"), F.max(F.size("words") - F.col("offset")).alias("ahead"))
-    tokens = docs.select(*text_key(F.col("text")), words_of(F.col("text")).alias("all")).select("k1", "k2", "all", F.posexplode("all").alias("pos", "term"))
-    before = F.least("pos", "back")
-    return (
-        tokens.join(small(reach, rows), "term")
-        .select("k1", "k2", "term", "pos", before.alias("before"), F.slice("all", F.col("pos") - before + 1, before + F.col("ahead")).alias("around"))
-        .groupBy("k1", "k2", "term", "pos")
-        .agg(F.first("before").alias("before"), F.first("around").alias("around"))
-    )
+    """Postings of the leading terms: ``k1``, ``k2``, ``term``, ``pos`` and ``salt`` (which part of a long list)."""
+    terms = leads.groupBy("term").agg(F.max("salts").alias("salts"))
+    tokens = docs.select(*text_key(F.col("text")), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return tokens.join(small(terms, rows), "term").select("k1", "k2", "term", "pos", F.pmod(F.xxhash64("k1", "pos"), F.col("salts")).alias("salt")).distinct()
 
 
-def phrase_matches(index: DataFrame, leads: DataFrame, rows: int) -> DataFrame:
-    """Every exact occurrence of a phrase: ``k1``, ``k2``, ``phrase``, ``start`` and ``length``."""
-    # Lists meet without payload, phrases by hash; only what is left is given its surroundings again.
-    known = leads.withColumn("id", F.xxhash64("phrase"))
-    narrow = known.select("id", "term", "offset", "rank", F.least(F.lit(LEADERS), F.size("words")).alias("wanted"))
-    found = (
-        index.select("k1", "k2", "term", "pos")
-        .join(small(narrow, rows), "term")
+def candidates(index: DataFrame, leads: DataFrame, rows: int) -> DataFrame:
+    """Where all leading terms of a phrase stand in place: ``k1``, ``k2``, ``id``, ``start`` and ``length``."""
+    # Lists meet by hashes of the phrases, without their words.
+    narrow = leads.select("id", "term", "offset", "wanted", "length", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    return (
+        index.join(small(narrow, rows), ["term", "salt"])
         .withColumn("start", F.col("pos") - F.col("offset"))
         .where("start >= 0")
-        .groupBy("k1", "k2", "id", "start")
+        .groupBy("k1", "k2", "id", "start", "length")
         .agg(F.count("*").alias("lists"), F.max("wanted").alias("wanted"))
         .where(F.col("lists") == F.col("wanted"))
+        .select("k1", "k2", "id", "start", "length")
     )
-    led = found.join(small(known.where("rank = 0"), rows), "id").withColumn("pos", F.col("start") + F.col("offset"))
-    here = F.slice("around", F.col("before") - F.col("offset") + 1, F.size("words"))
-    return led.join(index, ["k1", "k2", "term", "pos"]).where(here == F.col("words")).select("k1", "k2", "phrase", "start", F.size("words").alias("length"))
+
+
+def phrase_matches(docs: DataFrame, index: DataFrame, leads: DataFrame, rows: int) -> DataFrame:
+    """Every exact occurrence of a phrase: ``k1``, ``k2``, ``id``, ``start`` and ``length``."""
+    by_text = candidates(index, leads, rows).groupBy("k1", "k2").agg(F.collect_list(F.struct("id", "start", "length")).alias("places"))
+    by_text = materialize(by_text, "bench-places")
+    asked = docs.select(*text_key(F.col("text")), "text").join(small(by_text, by_text.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]), ["k1", "k2"])
+    # The words of a text are split once, and only what stands at its places leaves the expression.
+    cut = F.transform(
+        F.array(words_of(F.col("text"))),
+        lambda w: F.transform(
+            F.col("places"),
+            lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["length"].alias("length"), F.array_join(F.slice(w, p["start"] + 1, p["length"]), " ").alias("phrase")),
+        ),
+    )[0]
+    here = asked.select("k1", "k2", F.inline(cut)).distinct()
+    return here.join(small(leads.where("rank = 0").select("id", "phrase"), rows), ["id", "phrase"]).select("k1", "k2", "id", "start", "length")
 
 
 def near_matches(index: DataFrame, leads: DataFrame, rows: int, slop: int) -> DataFrame:
@@ -100,7 +116,8 @@ def near_matches(index: DataFrame, leads: DataFrame, rows: int, slop: int) -> Da
     Gives ``k1``, ``k2``, ``phrase``, ``start`` (by the rarest term) and ``off`` (places amiss, signed).
     Lists are joined by cells of ``slop + 1`` places, so only neighbours meet.
     """
-    lists = index.join(small(leads, rows), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    narrow = leads.select("phrase", "term", "offset", "rank", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    lists = index.join(small(narrow, rows), ["term", "salt"]).withColumn("start", F.col("pos") - F.col("offset"))
     cell = F.floor(F.col("start") / (slop + 1))
     first = lists.where("rank = 0").select("k1", "k2", "phrase", "start", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     second = lists.where("rank = 1").select("k1", "k2", "phrase", F.col("start").alias("other"), cell.alias("cell"))
@@ -123,7 +140,7 @@ def judged_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     n_terms, n_leads = terms.count(), phrases.select("phrase").distinct().count() * LEADERS
     leads = materialize(leading_terms(phrases, term_counts(texts, terms, n_terms)), "bench-leads")
     index = materialize(build_index(texts, leads, min(n_terms, n_leads)), "bench-index")
-    matches = phrase_matches(index, leads, n_leads)
+    matches = materialize(phrase_matches(texts, index, leads, n_leads), "bench-matches")
 
     ends = F.transform(F.array_sort("spans"), lambda s: F.struct(s["start"].alias("a"), (s["start"] + s["length"]).alias("b")))
     covered = F.aggregate(
@@ -131,13 +148,18 @@ def judged_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")),
     )["n"]
-    owners = phrases.groupBy("phrase").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("ids"))
-    by_text = (
-        matches.join(small(owners, n_leads), "phrase")
+    hits = matches.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "length")).alias("spans")).select("k1", "k2", covered.alias("hit"))
+    # Phrases and items are known by hashes until the few that occur are named.
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    owners = materialize(phrases.select(F.xxhash64("phrase").alias("id"), item.alias("item")).distinct(), "bench-owners")
+    named = (
+        matches.select("k1", "k2", "id")
+        .distinct()
+        .join(small(owners, owners.count()), "id")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("ids").alias("ids"))
-        .select("k1", "k2", covered.alias("hit"), F.array_sort(F.array_distinct(F.flatten("ids"))).alias("ids"))
+        .agg(F.array_sort(F.collect_set("item")).alias("ids"))
     )
+    by_text = hits.join(named, ["k1", "k2"])
     rows = texts.select("doc_id", *text_key(F.col("text")), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))

@@ -70,6 +70,49 @@ def test_near_matches(spark):
     assert (off(0), off(1), off(2)) == ([], [1], [-2, 1, 2])
 
 
+def written(spark, run):
+    """Bytes that the stages of a run have put into exchanges."""
+    store, none, jvm = spark._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList(), spark._jvm
+
+    def total():
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    before = total()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_exchanges_grow_in_proportion_to_a_text(spark, monkeypatch):
+    monkeypatch.setattr(keys, "BROADCAST", 0)
+    rng = random.Random(7)
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+
+    def of(n):
+        text = " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        return written(spark, lambda: decontaminate.contamination(docs, bench).collect()) / len(text)
+
+    small, large = of(2_000), of(20_000)
+    assert large < 2 * small
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    bench = [(1, " ".join(f"w{rng.randrange(50)}" for _ in range(40))), (2, "w1 w2")]
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(60_000))
+    check(spark, [(1, text + " " + bench[0][1] + " " + text)], bench)
+
+
+def test_lists_of_a_frequent_term_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TERM_ROWS", 20)
+    monkeypatch.setattr(keys, "BROADCAST", 0)
+    docs, bench = corpus()
+    check(spark, docs, bench, window=3)
+
+
 def test_query_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
