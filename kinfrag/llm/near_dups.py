@@ -4,12 +4,15 @@ A document's bands come from two collections of ``SIDE`` hashes, each of ``ROWS`
 combines one hash of either, so ``SIDE * SIDE`` tables need only ``2 * SIDE * ROWS`` minima. At a
 similarity of 0.75 a pair meets in a table unless one whole collection fails: all but 0.05 % meet.
 
-Documents with the same set (by a hash of 128 bits) are one class, known by the first half of it, and only
+Documents with the same set (by a hash of 128 bits) are one class, which has a number of its own, and only
 classes go on. In each bucket every class is
 compared with the bucket's hub (the class that meets most others) on full sets. Buckets whose members
 are then not all connected are settled exactly: all their members' sets meet in one task, which
-counts common shingles through an index of them, and of very large buckets every two blocks meet.
-Only links of a spanning forest are returned, never all pairs.
+counts common shingles through an index of them. A bucket too large for a task is first split by its
+rarest shingles: two sets can only be similar if they share one of the first quarter of theirs, ordered
+by how many members have them, so a passage that all members have parts nobody from a partner. What is
+still too large after that meets block by block. Only links of a spanning forest are returned, never
+all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +35,8 @@ SHINGLE, PERCENT = 5, 75
 SIDE, ROWS = 10, 2
 #: Classes of a block, and shingles of it, about, where a bucket is too large for one task.
 BLOCK, BLOCK_SHINGLES = 1_024, 1_000_000
+#: Parts that a shingle of a large bucket is dealt over while its members are counted.
+SALTS = 16
 #: Keys of texts to read again that are broadcast, at most.
 BROADCAST = 200_000
 
@@ -198,6 +203,48 @@ def tables(classes: DataFrame) -> DataFrame:
     return keys.join(full, "key")
 
 
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets whose members (``key``, ``node``, ``n``) are not all connected yet: ``key`` and ``blocks``; of those with the same members one."""
+    marked = members.join(roots, members["node"] == roots["node"], "left").select("key", members["node"], "n", F.coalesce("root", members["node"]).alias("root"))
+    same = F.struct(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"))
+    return (
+        marked.groupBy("key")
+        .agg(same.alias("same"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("all"))
+        .where("low != high")
+        .groupBy("same")
+        .agg(F.min("key").alias("key"), F.min("all").alias("all"))
+        .select("key", F.greatest(F.ceil(F.col("same.c") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    )
+
+
+def split_by_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Buckets of those members of a bucket that share one of their rarest shingles there: ``key``, ``node`` and ``n``.
+
+    Members that are similar share one: of a set of n, all but ``PERCENT`` percent and one more are looked at.
+    """
+    terms = members.select("key", "node", "n").join(sets, "node").select("key", "node", "n", F.explode("shingles").alias("term"))
+    terms = terms.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    often = terms.groupBy("key", "term").agg(F.count("*").alias("often")).where("often > 1")
+    often = often.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    order = Window.partitionBy("key", "node").orderBy(F.coalesce("often", F.lit(1)), "term")
+    placed = terms.join(often, ["key", "term", "salt"], "left").withColumn("place", F.row_number().over(order))
+    prefix = F.col("n") - F.expr(f"(n * {PERCENT} + 99) div 100") + 1
+    return placed.where((F.col("place") <= prefix) & F.col("often").isNotNull()).select(F.xxhash64(F.lit("term"), "key", "term").alias("key"), "node", "n")
+
+
+def bucket_tasks(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The ``task`` of each member, one for every two blocks of a bucket: ``task`` and ``node``."""
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))))
+    return (
+        members.select("key", "node")
+        .join(buckets, "key")
+        .withColumn("block", block)
+        .withColumn("other", other)
+        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "node")
+    )
+
+
 def grouped_documents(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``k1``, ``k2`` (of its text), ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -214,7 +261,8 @@ def grouped_documents(docs: DataFrame) -> DataFrame:
         rows.where("n > 0")
         .groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("least"), rep.alias("rep"), F.first("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-        .withColumn("node", F.col("d1"))
+        # Numbered as they are written: no two classes have one number.
+        .withColumn("node", F.monotonically_increasing_id())
     )
     classes = materialize(classes, "near-classes")
     members = materialize(tables(classes), "near-members")
@@ -235,26 +283,13 @@ def grouped_documents(docs: DataFrame) -> DataFrame:
     links = pairs.join(first, "a").join(second, "b").where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
     links = materialize(links, "near-links")
 
-    roots = components(links)
-    marked = members.join(roots, members["node"] == roots["node"], "left").select("key", members["node"], "n", "size", F.coalesce("root", members["node"]).alias("root"))
-    same = F.struct(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"))
-    open_ = (
-        marked.groupBy("key")
-        .agg(same.alias("same"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("all"))
-        .where("low != high")
-        .groupBy("same")
-        .agg(F.min("key").alias("key"), F.min("all").alias("all"))
-        .select("key", F.greatest(F.ceil(F.col("same.c") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    )
-    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))))
-    tasks = (
-        members.select("key", "node")
-        .join(open_, "key")
-        .withColumn("block", block)
-        .withColumn("other", other)
-        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "node")
-    )
+    roots = materialize(components(links), "near-roots")
+    buckets = materialize(open_buckets(members, roots), "near-open")
+    tasks = bucket_tasks(members, buckets.where("blocks = 1"))
+    large = buckets.where("blocks > 1").select("key")
+    if not large.isEmpty():
+        parts = materialize(split_by_shingles(members.join(large, "key"), sets), "near-parts")
+        tasks = tasks.unionByName(bucket_tasks(parts, open_buckets(parts, roots)))
     more = settle(tasks.join(sets, "node"))
     found = components(links.unionByName(more))
 

@@ -82,6 +82,24 @@ def test_large_buckets_by_blocks(spark, monkeypatch):
     check(spark, corpus(random.Random(2), groups=5, hot=120))
 
 
+def test_large_buckets_are_split_by_rare_shingles(spark, monkeypatch):
+    # A passage that many share fills buckets whose members are not alike.
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    docs = []
+    for _ in range(40):
+        own = [word() for _ in range(22)]
+        docs += [" ".join(passage + own), " ".join(passage + own[:-1] + [word()])]
+    check(spark, list(enumerate(docs)))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    texts = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(2048)) for flip in (0, 1)]
+    check(spark, list(enumerate(texts)))
+
+
 def test_empty_and_single(spark):
     check(spark, [])
     check(spark, [(1, "a b c d e f g")])
