@@ -54,6 +54,7 @@ def test_target_bytes(spark):
 
 def test_running_sum(spark, monkeypatch):
     monkeypatch.setattr("kinfrag.llm.running.BUCKET_ROWS", 7)
+    monkeypatch.setattr("kinfrag.llm.running.FAN", 3)
     df = spark.range(200).select((F.col("id") % 3).alias("g"), "id", (F.col("id") % 5 + 1).alias("w"))
     by = defaultdict(list)
     for r in running_sum(df, "g", ["id"], F.col("w"), 200, "start").collect():
@@ -63,6 +64,13 @@ def test_running_sum(spark, monkeypatch):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_running_sum_of_equal_rows(spark):
+    df = spark.createDataFrame([("a", 1, 3)] * 5000 + [("a", 2, 4), ("b", 1, 3)], "g string, id int, w int")
+    out = running_sum(df, "g", ["id"], F.col("w"), 5002, "start").collect()
+    spans = sorted((r.start, r.start + r.w) for r in out if r.g == "a")
+    assert len(out) == 5002 and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_query_on_the_table(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     verify(docs, op4_kd_shards(spark, sf_dir).collect(), 24)
