@@ -19,10 +19,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has none of the keys ``k1``, ``k2`` of ``gone``."""
+    """The rows of ``docs`` whose text has none of the keys ``k1``, ``k2`` of ``gone``; columns may have any name."""
     gone = gone.select("k1", "k2").distinct()
-    own = docs.columns
-    k1, k2 = text_key(F.col("text"))
-    wide = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    gone = small(gone, gone.count()).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    return wide.join(gone, ["__k1", "__k2"], "left_anti").select(*own)
+    # Rows are packed, so that no column of theirs can clash with a key.
+    wide = docs.select(F.struct("*").alias("row"), *text_key(F.col("text")))
+    return wide.join(small(gone, gone.count()), ["k1", "k2"], "left_anti").select("row.*")
