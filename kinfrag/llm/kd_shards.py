@@ -7,8 +7,8 @@ bits of the dimension, 36 of the text's hash) by 15 bits each. Only the bin that
 into comes to the driver, one row for each node. A document's shard is then an expression over its
 own metadata: nothing is joined, and no key is hot.
 
-Every dimension depends on the text alone, so equal texts have equal keys and stay together. A
-group of equal texts that outweighs a shard's share gets a shard of its own before the tree is built.
+Every dimension is metadata of the text alone (its size, and shares of its characters), so equal texts
+have equal keys and stay together; the hash only parts texts of equal metadata. A group of equal texts that outweighs a shard's share gets a shard of its own before the tree is built.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ SHARDS = 24
 ROW_BYTES = 8
 STEP, ROUNDS, TIE_BITS = 15, 4, 36
 #: The dimensions with the bounds of their values: logarithm of the size, share of bytes that
-#: continue a character, and checksum.
-DIMENSIONS = {"log_size": (0.0, 44.0), "wide": (0.0, 1.0), "crc": (0.0, 2.0**32)}
+#: continue a character, white space of the characters, line feeds of the white space, and
+#: punctuation of the characters.
+DIMENSIONS = {"log_size": (0.0, 44.0), "wide": (0.0, 1.0), "space": (0.0, 1.0), "lines": (0.0, 1.0), "marks": (0.0, 1.0)}
+MARKS = ".,;:!?"
 
 
 @dataclass
@@ -50,7 +52,18 @@ def shard_of(node: Node) -> Column:
 
 def metadata(docs: DataFrame) -> DataFrame:
     """Per document its size, checksum, hash and a key for each dimension; the text is left behind."""
-    values = {"log_size": F.log(F.col("size")), "wide": (F.octet_length("text") - F.length("text")) / F.col("size"), "crc": F.col("text_crc32")}
+    chars = F.length("text")
+
+    def number(signs: str) -> Column:
+        return chars - F.length(F.translate("text", signs, ""))
+
+    values = {
+        "log_size": F.log(F.col("size")),
+        "wide": (F.octet_length("text") - chars) / F.col("size"),
+        "space": number(" \t\n\r") / F.greatest(F.lit(1), chars),
+        "lines": number("\n") / F.greatest(F.lit(1), number(" \t\n\r")),
+        "marks": number(MARKS) / F.greatest(F.lit(1), chars),
+    }
     keys = {}
     for d, (low, high) in DIMENSIONS.items():
         scaled = ((values[d] - F.lit(low)) / F.lit(high - low) * F.lit(2**24 - 1)).cast("long")

@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+from kinfrag.llm import kd_shards as kd
 from kinfrag.llm.catalog import op4_kd_shards
 from kinfrag.llm.kd_shards import kd_shards
 from kinfrag.llm.running import running_sum
@@ -46,6 +47,46 @@ def test_small_and_empty_tables(spark):
     verify([(1, "x")], kd_shards(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 4).collect(), 4)
 
 
+def cut_dimensions(node):
+    return [] if node.left is None else [node.dim, *cut_dimensions(node.left), *cut_dimensions(node.right)]
+
+
+def test_the_tree_cuts_along_the_widest_dimension(spark):
+    # Half of the texts have many lines and the others none; all have about the same size.
+    docs = [(i, ("a b\n" if i % 2 else "a bc") * (100 + i % 3)) for i in range(400)]
+    docs = [(i, t + f"{i:04d}") for i, t in docs]
+    rows = kd.materialize(kd.metadata(spark.createDataFrame(docs, "doc_id long, text string")), "test")
+    root = kd.Node(0, 4)
+    kd.build_tree(rows, root)
+    assert cut_dimensions(root)[0] in kd.DIMENSIONS
+    placed = rows.select("doc_id", kd.shard_of(root).alias("shard")).collect()
+    # A naive version: the widest dimension of all rows at the weighted median.
+    keys = {r.doc_id: r for r in rows.collect()}
+    first = root.dim
+    left = {r.doc_id for r in placed if r.shard < 2}
+    order = sorted(keys.values(), key=lambda r: r[f"key_{first}"])
+    half, at, want = sum(r.size for r in order) / 2, 0, set()
+    for r in order:
+        if at + r.size / 2 < half:
+            want.add(r.doc_id)
+        at += r.size
+    assert len(left ^ want) <= 1
+
+
+def test_cuts_are_along_metadata(spark, sf_dir):
+    rows = kd.materialize(kd.metadata(spark.read.parquet(f"{sf_dir}/documents.parquet")), "test")
+    root = kd.Node(0, 24)
+    kd.build_tree(rows, root)
+    assert len(cut_dimensions(root)) == 23 and len(set(cut_dimensions(root))) >= 3
+
+
+def test_a_very_long_text(spark):
+    docs = [(i, f"text {i} " * 20) for i in range(300)] + [(1000, "long words " * 400_000)]
+    out = kd_shards(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect()
+    verify(docs, out, 6)
+    assert sum(r.shard == next(x.shard for x in out if x.doc_id == 1000) for r in out) == 1
+
+
 def test_target_bytes(spark):
     docs = [(i, "x" * 92 + f"{i:04d}") for i in range(100)]
     out = kd_shards(spark.createDataFrame(docs, "doc_id long, text string"), None, target_bytes=1100).collect()
