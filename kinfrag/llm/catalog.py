@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinfrag.llm import decontaminate, html_text, kd_shards, language, mixing, near_dups, quality, repeats, token_counts, url_filter
 
@@ -29,17 +30,27 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
 
 
-#: Rules of op5, and the listed urls that decide where no rule fits.
+#: Rules of op5, and the sites that decide where neither a rule nor a listed url does.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-LISTED_URLS = [
+LISTED_SITES = [
     ("block", f"{host}/")
     for host in ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 ]
+#: First digit of the checksum of canonical urls that are listed: one url in 16.
+LISTED_DIGIT = "0"
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """A list of canonical urls to block: those of ``pages`` that a checksum picks."""
+    host, path = url_filter.host_and_path(F.col("url"))
+    urls = pages.select(F.concat(host, path).alias("key")).where(F.col("key") != "").distinct()
+    return urls.where(F.md5(F.col("key").cast("binary")).startswith(LISTED_DIGIT)).select("key", F.lit("block").alias("verdict"), F.lit("url").alias("kind"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = url_filter.entries(spark, URL_RULES, "rule").unionByName(url_filter.entries(spark, LISTED_URLS, "listed"))
-    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), listed)
+    pages = table(spark, sf_dir, "pages")
+    listed = url_filter.entries(spark, URL_RULES, "rule").unionByName(url_filter.entries(spark, LISTED_SITES, "site")).unionByName(listed_urls(pages))
+    return url_filter.url_verdicts(pages, listed)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _op5_sql() -> str:
     listed = ", ".join(
         f"({i}, '{v}', '{k}', '{k.partition('/')[0]}', '/{k.partition('/')[2]}')"
-        for i, rules in ((1, URL_RULES), (0, LISTED_URLS))
+        for i, rules in ((1, URL_RULES), (0, LISTED_SITES))
         for v, k in rules
     )
     return f"""
@@ -95,9 +106,11 @@ u AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM r),
 m AS (
-  SELECT u.*, l.*, row_number() OVER (PARTITION BY row_id ORDER BY is_rule DESC NULLS LAST, length(key) DESC, key) AS place
+  SELECT u.*, l.*, host || path <> '' AND starts_with(md5(host || path), '{LISTED_DIGIT}') AS listed,
+    row_number() OVER (PARTITION BY row_id ORDER BY is_rule DESC NULLS LAST, length(key) DESC, key) AS place
   FROM u LEFT JOIN l ON (host = own_host OR ends_with(host, '.' || own_host)) AND starts_with(path, own_path))
-SELECT page_id, host, path, CASE WHEN is_rule = 1 THEN key END AS rule, coalesce(verdict, 'allow') AS verdict
+SELECT page_id, host, path, CASE WHEN is_rule = 1 THEN key END AS rule,
+  CASE WHEN is_rule = 1 THEN verdict WHEN listed THEN 'block' ELSE coalesce(verdict, 'allow') END AS verdict, listed
 FROM m WHERE place = 1
 """
 

@@ -17,13 +17,19 @@ def brute(url, listed):
     best = {}
     for verdict, key, kind in listed:
         h, slash, p = key.partition("/")
-        if (host == h or host.endswith("." + h)) and path.startswith(slash + p):
-            best[kind] = max(best.get(kind, (-1, "", "")), (len(key), key, verdict))
-    won = best.get("rule") or best.get("listed")
-    return host, path, best["rule"][1] if "rule" in best else None, won[2] if won else "allow"
+        fits = (host == h or host.endswith("." + h)) and path.startswith(slash + p) if kind != "url" else key == host + path != ""
+        if fits:
+            # The longest key, of these the smallest; of one key's verdicts the greatest.
+            mine = (-len(key), key)
+            if kind not in best or mine < best[kind][0]:
+                best[kind] = (mine, key, verdict)
+            elif mine == best[kind][0]:
+                best[kind] = (mine, key, max(verdict, best[kind][2]))
+    won = best.get("rule") or best.get("url") or best.get("site")
+    return host, path, best["rule"][1] if "rule" in best else None, won[2] if won else "allow", "url" in best
 
 
-LISTED = [(v, k, "rule") for v, k in catalog.URL_RULES] + [(v, k, "listed") for v, k in catalog.LISTED_URLS]
+LISTED = [(v, k, "rule") for v, k in catalog.URL_RULES] + [(v, k, "site") for v, k in catalog.LISTED_SITES] + [("block", "a.org/fr", "url"), ("allow", "spam-farm.example.org/fr/", "url"), ("block", "net", "url"), ("block", "", "url")]
 
 
 def entries(spark, listed):
@@ -31,12 +37,9 @@ def entries(spark, listed):
 
 
 def check(spark, urls, listed):
-    pages = spark.createDataFrame([(i, u, "z", 1) for i, u in enumerate(urls)] + [(None, u, "z", 1) for u in urls[:3]], "page_id long, url string, host string, key int")
-    got = url_filter.url_verdicts(pages, entries(spark, listed)).collect()
-    assert len(got) == len(urls) + len(urls[:3])
-    for r in got:
-        if r.page_id is not None:
-            assert (r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id], listed), urls[r.page_id]
+    pages = [(i, u, "z", 1) for i, u in enumerate(urls)] + [(None, u, "z", 1) for u in urls[:3]] + [(0, urls[0], "z", 1)]
+    got = url_filter.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, host string, key int"), entries(spark, listed)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *brute(u, listed))) for i, u, _, _ in pages)
 
 
 def test_edges(spark):
@@ -50,8 +53,9 @@ def test_random_lists_broadcast_or_not(spark, monkeypatch):
     part = lambda n: "".join(rng.choice("ab") for _ in range(rng.randint(1, n)))
     hosts = [".".join(part(2) for _ in range(rng.randint(1, 4))) for _ in range(60)]
     keys = {h + "/" + part(3) + rng.choice(["", "/"]) for h in hosts}
-    listed = [(rng.choice(["block", "allow"]), k, rng.choice(["rule", "listed"])) for k in sorted(keys)]
+    listed = [(rng.choice(["block", "allow"]), k, rng.choice(["rule", "site", "url"])) for k in sorted(keys)]
     urls = [f"h://{part(2)}.{rng.choice(hosts)}/{part(4)}/{part(2)}" for _ in range(400)]
+    listed += [(rng.choice(["block", "allow"]), k, "url") for k in sorted({u.split("://")[1] for u in urls}) if rng.random() < 0.3]
     check(spark, urls, listed)
     monkeypatch.setattr(url_filter, "BROADCAST", 0)
     check(spark, urls, listed)
