@@ -1,14 +1,14 @@
 """Quality rules: an isolation forest over rule statistics of documents.
 
 One pass over the texts counts what rules look at (words, symbols, repeated lines and word windows,
-capitals, ends of sentences), and all later steps read these counts alone. Trees split a random
-statistic at a random place until rows stand alone; a document that few splits set apart is odd.
-
-A rule's statistic is how far a document goes beyond that rule's soft limit, ``MARGIN`` times what
-all but ``TAIL`` of the labelled good rows keep to; thus ordinary documents are all alike and none of them is odd
-for being long, or for a habit that good ones have too. The trees are grown from a bounded sample of
-all documents (``SAMPLE`` rows), and the bound on a document's mean path is set from histograms over
-every labelled row.
+capitals, ends of sentences), and all later steps read these counts alone. A statistic of a document
+is seen as its rank: the share of all documents that have less of it, from an exact histogram of the whole
+corpus. So no statistic needs a limit of its own, and a value that few have lies far from the others.
+
+Trees split a random statistic at a random place of all its ranks, until rows stand alone; a document
+that few splits set apart is odd. They are grown from a bounded sample of rows that are labelled good (``SAMPLE``
+rows; of all documents where there are none), so bad documents are odd even if there are many alike. The
+bound on a document's mean path is set from histograms over every labelled row.
 """
 
 from __future__ import annotations
@@ -28,17 +28,15 @@ from kinfrag.plans.scratch import materialize
 
 #: Words that a document must have, and the share of repeated ones it may have, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Rows that the trees are grown from, at most; share of good labelled rows beyond a soft limit.
-SAMPLE, TAIL = 20_000, 0.001
-#: Times the soft limit from which on a document is beyond it.
-MARGIN = 1.25
+#: Rows that the trees are grown from, at most.
+SAMPLE = 20_000
+#: Bins of a statistic's histogram, for each unit of its logarithm.
+FINE = 4_096
 TREES, TREE_ROWS, SEED = 128, 256, 11
 #: Bins of the path lengths, and the share of good labelled rows that the bound may reject.
 BINS, FALSE_REJECTS = 2_000, 0.002
 #: Path length over that of a random tree under which a document is odd, where nothing is labelled.
-UNLABELLED_BOUND = 0.75
-#: Soft limits of the ``features`` where no row is labelled good.
-SOFT = (0.02, 0.3, 0.35, 8.0, 0.1, 0.05)
+UNLABELLED_BOUND = 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_digits")
 
@@ -129,16 +127,41 @@ def features() -> list[Column]:
     ]
 
 
-def excess(soft: list[float]) -> list[Column]:
-    return [F.greatest(F.lit(0.0), f - F.lit(limit)).alias(f"f{i}") for i, (f, limit) in enumerate(zip(features(), soft, strict=True))]
+def bins() -> list[Column]:
+    """The ``features`` as whole bins, fine where they are small."""
+    return [F.floor(F.log1p(f) * FINE).cast("int").alias(f"f{i}") for i, f in enumerate(features())]
 
 
-def soft_limits(good: DataFrame) -> list[float]:
-    found = good.agg(*(F.percentile_approx(f, 1 - TAIL, 10_000).alias(f"f{i}") for i, f in enumerate(features()))).first()
-    return list(SOFT) if found["f0"] is None else [MARGIN * x for x in found]
+WIDTH = 6
 
 
-WIDTH = 6
+class Ranks:
+    """The share of documents that lie in a lower bin of a statistic, for each bin that a document is in."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        self.bins, self.below = [], []
+        for i in range(WIDTH):
+            own = sorted((at, n) for f, at, n in found if f == i)
+            counts = np.array([n for _, n in own], np.int64)
+            self.bins.append(np.array([at for at, _ in own], np.int64))
+            self.below.append((np.cumsum(counts) - counts) / max(1, counts.sum()))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        """Ranks of rows of bins; one that no document is in has the rank of the next."""
+        out = np.ones(rows.shape)
+        for i, (at, below) in enumerate(zip(self.bins, self.below, strict=True)):
+            out[:, i] = np.append(below, 1.0)[np.searchsorted(at, rows[:, i])]
+        return out
+
+    def highest(self) -> np.ndarray:
+        return np.array([b[-1] if len(b) else 0.0 for b in self.below])
+
+
+def ranks(judged: DataFrame) -> Ranks:
+    """From the histograms of all ``judged`` documents: at most some ten thousand bins of each statistic."""
+    wide = judged.select(*bins())
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("at")) for i in range(WIDTH))))
+    return Ranks([tuple(r) for r in wide.select(pairs.alias("x")).groupBy("x.f", "x.at").count().collect()])
 
 
 def path_of(n: np.ndarray | float) -> np.ndarray:
@@ -148,27 +171,31 @@ def path_of(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(safe - 1) + 0.5772156649) - 2 * (safe - 1) / safe, np.where(n == 2, 1.0, 0.0))
 
 
-def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> list[tuple[np.ndarray, ...]]:
-    """Isolation trees as arrays: statistic (-1 at leaves), place of the split, left child, path at leaves."""
+def grow(rows: np.ndarray, high: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> list[tuple[np.ndarray, ...]]:
+    """Isolation trees as arrays: statistic (-1 at leaves), place of the split, left child, path at leaves.
+
+    A node is split anywhere between the ends of its part of the space from 0 to ``high``, whether ``rows`` lie there or not.
+    """
     rng = np.random.default_rng(seed)
     limit = int(np.ceil(np.log2(max(2, tree_rows)))) + 4
     forest = []
     for _ in range(trees):
         own = rows[rng.choice(len(rows), min(tree_rows, len(rows)), replace=False)]
         what, where, left, path = [], [], [], []
-        todo = [(own, 0)]
+        todo = [(own, 0, np.zeros(len(high)), np.array(high, float))]
         while todo:
-            part, depth = todo.pop(0)
-            low, high = part.min(0), part.max(0)
-            open_ = np.flatnonzero(high > low)
+            part, depth, a, b = todo.pop(0)
+            open_ = np.flatnonzero(b > a)
             if depth >= limit or len(part) < 2 or not len(open_):
                 what.append(-1), where.append(0.0), left.append(0), path.append(depth + float(path_of(len(part))))
                 continue
             f = int(rng.choice(open_))
-            cut = rng.uniform(low[f], high[f])
+            cut = rng.uniform(a[f], b[f])
             what.append(f), where.append(cut), path.append(0.0)
             left.append(len(what) + len(todo))
-            todo += [(part[part[:, f] <= cut], depth + 1), (part[part[:, f] > cut], depth + 1)]
+            under = np.where(np.arange(len(b)) == f, cut, b)
+            over = np.where(np.arange(len(a)) == f, cut, a)
+            todo += [(part[part[:, f] <= cut], depth + 1, a, under), (part[part[:, f] > cut], depth + 1, over, b)]
         forest.append((np.array(what), np.array(where), np.array(left), np.array(path)))
     return forest
 
@@ -188,19 +215,19 @@ def mean_path(forest: list[tuple[np.ndarray, ...]], rows: np.ndarray, tree_rows:
     return total / len(forest) / float(path_of(tree_rows))
 
 
-def scored(stats: DataFrame, forest: list[tuple[np.ndarray, ...]] | None, soft: list[float]) -> DataFrame:
+def scored(stats: DataFrame, forest: list[tuple[np.ndarray, ...]] | None, known: Ranks) -> DataFrame:
     """Adds ``path``; 1 for all rows without a forest."""
     if forest is None:
         return stats.withColumn("path", F.lit(1.0))
-    held = stats.sparkSession.sparkContext.broadcast(pickle.dumps(forest))
-    wide = stats.select("*", *excess(soft))
+    held = stats.sparkSession.sparkContext.broadcast(pickle.dumps((forest, known)))
+    wide = stats.select("*", *bins())
     schema = T.StructType([*stats.schema.fields, T.StructField("path", T.DoubleType())])
     own = len(stats.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = pickle.loads(held.value)
+        trees, rank = pickle.loads(held.value)
         for batch in batches:
-            rows = np.column_stack([batch.column(own + i).to_numpy() for i in range(WIDTH)])
+            rows = rank(np.column_stack([batch.column(own + i).to_numpy() for i in range(WIDTH)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(mean_path(trees, rows))], names=schema.names)
 
     return wide.mapInArrow(run, schema)
@@ -210,13 +237,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def bounded_sample(rows: DataFrame, most: int, soft: list[float]) -> np.ndarray:
-    """What the trees see of about ``most`` rows at most, picked by a hash of the counts and the id."""
+def bounded_sample(rows: DataFrame, most: int, known: Ranks) -> np.ndarray:
+    """What the trees see of ``most`` rows at most: those of the least hashes of counts and id."""
     n = rows.count()
-    share = min(1.0, 0.98 * most / max(1, n))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(1_000_003)) <= F.lit(int(1_000_003 * share)))
-    found = picked.select(*excess(soft)).orderBy(*(f"f{i}" for i in range(WIDTH))).limit(most).collect() if n else []
-    return np.array([tuple(r) for r in found], float).reshape(-1, WIDTH)
+    if not n:
+        return np.zeros((0, WIDTH))
+    draw = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(1_000_003))
+    share = min(1.0, 1.1 * most / n + 0.001)
+    picked = rows.withColumn("draw", draw).where(F.col("draw") <= F.lit(int(1_000_003 * share))).select("draw", *bins())
+    found = picked.orderBy("draw", *(f"f{i}" for i in range(WIDTH))).limit(most).drop("draw").collect()
+    return known(np.array([tuple(r) for r in found], np.int64).reshape(-1, WIDTH))
 
 
 def bound(paths: DataFrame) -> float:
@@ -250,7 +280,7 @@ def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``base_failed`` documents go; of the others those whose path is under the bound go too. ``labels``
     has ``doc_id`` and ``quality`` (1 good, 0 bad; null is no label); a document with labels of
     both kinds counts as bad. Without labels of both kinds the bound is ``UNLABELLED_BOUND``, without
-    good ones the soft limits are ``SOFT``.
+    good ones the trees are grown from all documents. Equal paths have one verdict; one on the bound is kept.
 
     Null and empty texts have no words and fail the base. Null ids match no label; repeated rows are
     judged each; empty tables give no rows; other columns are not read.
@@ -259,11 +289,13 @@ def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = stats.where(~base_failed())
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = judged.join(marks, "doc_id")
-    soft = soft_limits(marked.where("quality > 0"))
-    sample = bounded_sample(judged, SAMPLE, soft)
-    forest = grow(sample) if len(sample) else None
-    limit = bound(scored(marked.drop("quality"), forest, soft).join(marks, "doc_id")) if forest else UNLABELLED_BOUND
-    return scored(stats, forest, soft).select(
+    known = ranks(judged)
+    sample = bounded_sample(marked.where("quality > 0"), SAMPLE, known)
+    if not len(sample):
+        sample = bounded_sample(judged, SAMPLE, known)
+    forest = grow(sample, known.highest()) if len(sample) else None
+    limit = bound(scored(marked.drop("quality"), forest, known).join(marks, "doc_id")) if forest else UNLABELLED_BOUND
+    return scored(stats, forest, known).select(
         "doc_id", "k1", "k2", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & (F.col("path") >= F.lit(limit))).alias("kept"), "path"
     )
 
