@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from kinfrag.plans import scratch
 
 
@@ -17,10 +19,21 @@ def test_folder_beside_the_warehouse_where_none_is_named(spark):
             return "/w/" if key == "spark.sql.warehouse.dir" else None
 
     class Context:
+        master = "spark://host:7077"
+
         def getCheckpointDir(self):
             return None
 
     class Session:
         conf, sparkContext = Conf(), Context()
 
-    assert scratch.scratch_root(Session()) == "/w/_scratch"
+    with pytest.warns(UserWarning, match="spark.checkpoint.dir"):
+        assert scratch.scratch_root(Session()) == "/w/_scratch"
+
+
+def test_sweep_of_a_part(spark):
+    before = scratch.mark(spark)
+    kept = [scratch.materialize(spark.range(i + 1), "part") for i in range(4)]
+    assert scratch.sweep(spark, before + 1, keep=1) == 2 and scratch.mark(spark) == before + 2
+    assert (kept[0].count(), kept[3].count()) == (1, 4)
+    assert scratch.sweep(spark, before) == 2 and scratch.sweep(spark, before) == 0
