@@ -79,6 +79,21 @@ def test_every_stage_against_a_plain_version(spark, tmp_path):
     assert sorted(map(repr, cp.run(spark, sf).collect())) == sorted(map(repr, out))
 
 
+HOSTILE = ["__k1", "__k2", "__s", "__copies", "k1", "k2", "k3", "s", "row", "copy", "copies", "rows", "node", "skey", "size", "shard", "kept", "path", "start", "block", "TAKEN"]
+
+
+def test_columns_of_any_name_pass_through_every_stage(spark, tmp_path):
+    docs, labels, bench = corpus()
+    sf = str(tmp_path / "sf")
+    write(spark, sf, docs[:80] + docs[400:430] + docs[-1:], labels, bench)
+    df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *(f"doc_id AS `{c}`" for c in HOSTILE))
+    for _, stage in cp.STAGES[:-1]:
+        df = cp.materialize(stage(spark, df, sf), "test")
+        assert df.columns == COLUMNS + HOSTILE
+        assert all(r.doc_id == r["__k1"] == r["copies"] == r["TAKEN"] for r in df.collect())
+    assert cp.STAGES[-1][1](spark, df, sf).count() == df.count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [])
     assert cp.run(spark, str(tmp_path)).count() == 0
