@@ -11,7 +11,8 @@ name and the name of its surroundings, and every position is given up as soon as
   window, among the positions with the same anchor.
 
 Names are 64-bit hashes of two independent families, compared together; ranks in sorted order
-would say no more about equality. Names of one anchor with many occurrences are counted before they are
+would say no more about equality. ``ranked_spans`` is the plain method, all positions sorted by rank pairs; it gives the same spans
+and moves too much for large inputs (see the README). Names of one anchor with many occurrences are counted before they are
 shuffled. Surroundings with one anchor meet in a task if there are at most ``LARGE`` of them, else
 their windows are counted as rows of their own.
 """
@@ -23,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfrag.llm.anchors import SPAN, WINDOW, found
+from kinfrag.llm.suffix_ranks import suffix_ranks
 from kinfrag.llm.textbytes import ROWS, chunks, mixed, span_hashes
 from kinfrag.plans.scratch import materialize
 
 #: Different surroundings of one anchor that meet in a task; of several anchors that are worked on together.
-LARGE, TOGETHER = 16_384, 2_048
+LARGE, TOGETHER = 4_096, 2_048
 #: Surroundings whose windows are hashed at once.
 SLAB = 2_048
 #: Removed spans of all documents that are broadcast, at most.
@@ -187,15 +189,13 @@ def settle_large(around: DataFrame) -> DataFrame:
 
 def merged(runs: DataFrame) -> DataFrame:
     """Runs of windows of each document as the spans of bytes that they cover, sorted and apart."""
-    span = F.struct(F.col("first").alias("a"), (F.col("last") + WINDOW).alias("b"))
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-
-    def add(spans, x):
-        top = F.element_at(spans, -1)
-        joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(top["a"].alias("a"), F.greatest(top["b"], x["b"]).alias("b"))))
-        return F.when((F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["b"] >= x["a"]), joined).otherwise(F.concat(spans, F.array(x)))
-
-    return runs.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(span)).alias("all")).select("k1", "k2", F.aggregate("all", empty, add).alias("spans"))
+    order = Window.partitionBy("k1", "k2").orderBy("a", "b")
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")
+    cover = runs.select("k1", "k2", F.col("first").alias("a"), (F.col("last") + WINDOW).alias("b")).withColumn("begins", begins)
+    cover = cover.withColumn("span", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = cover.groupBy("k1", "k2", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -217,6 +217,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return merged(rows.where("n > 1").select("k1", "k2", "first", "last").unionByName(some))
 
 
+def ranked_spans(docs: DataFrame) -> DataFrame:
+    """The same as ``repeated_spans`` by prefix doubling over all positions: rank pairs at offsets 1, 2, ... 64 and 72, sorted by Spark."""
+    texts = keyed(docs.where(F.octet_length("text") >= WINDOW)).select("k1", "k2", F.encode("text", "UTF-8").alias("raw"))
+    # Rows of one id and text are streams of their own.
+    texts = materialize(texts.withColumn("copy", F.monotonically_increasing_id()), "repeat-texts")
+    places = F.posexplode(F.expr("transform(sequence(1, octet_length(raw)), i -> conv(hex(substring(raw, i, 1)), 16, 10))"))
+    symbols = texts.select("k1", "k2", "copy", places.alias("pos", "symbol")).withColumn("symbol", F.col("symbol").cast("long"))
+    found = suffix_ranks(symbols, ["k1", "k2", "copy"], WINDOW)
+    return merged(found.select("k1", "k2", F.col("pos").alias("first"), F.col("pos").alias("last")))
+
+
 def repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``with_kept`` ``kept`` (its bytes).
 

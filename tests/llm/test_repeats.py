@@ -7,6 +7,7 @@ import pytest
 
 from kinfrag.llm import anchors, repeats
 from kinfrag.llm.catalog import op7_repeats
+from kinfrag.llm.suffix_ranks import suffix_ranks
 
 N = anchors.WINDOW
 
@@ -60,6 +61,30 @@ def test_equals_brute_force(spark, monkeypatch, large):
     check(spark, docs + [(None, None), (None, docs[1][1]), (5, docs[5][1]), (7, docs[7][1])])
 
 
+def test_prefix_doubling_over_all_positions_gives_the_same_spans(spark):
+    docs = [d for d in corpus(7, hot=6) if len(d[1]) < 1200] + [(5, corpus(7, hot=6)[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {(r.k1, r.k2): r.spans for r in repeats.ranked_spans(df).collect()}
+    assert plain == {(r.k1, r.k2): r.spans for r in repeats.repeated_spans(df).collect()} and plain
+
+
+def test_ranks_are_in_the_order_of_a_suffix_array(spark):
+    text = "banana bandana banana"
+    rows = spark.createDataFrame([(1, i, ord(c)) for i, c in enumerate(text)], "d long, pos int, symbol long")
+    for n in (1, 2, 3, 5, 6):
+        got = {r.pos: r["rank"] for r in suffix_ranks(rows, ["d"], n).collect()}
+        strings = {p: text[p : p + n] for p in range(len(text) - n + 1)}
+        assert set(got) == {p for p, s in strings.items() if list(strings.values()).count(s) > 1}
+        assert all((strings[p] < strings[q]) == (got[p] < got[q]) for p in got for q in got)
+
+
+def test_a_document_of_many_spans(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(220)
+    check(spark, [(1, "".join(passage + text(30) for _ in range(1500))), (2, text(500))])
+
+
 def test_empty(spark):
     check(spark, [])
     check(spark, [(1, "x" * 199), (2, None)])
