@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from kinfrag.engine import Engine
 from kinfrag.functions.rows import html_table
-from kinfrag.operators import similarity
+from kinfrag.operators.clustering import cluster
 from kinfrag.schema import FragmentationSpec
 from kinfrag.sources import files
 from kinfrag.sources.generator import generate
@@ -34,6 +34,8 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--path", required=True, help="folder of the relations")
     p.add_argument("-rt", "--recreateTables", action="store_true", help="delete the folder first")
     p.add_argument("-ct", "--clearTables", action="store_true", help="empty the relations first")
+    p.add_argument("-is", "--initSimilarity", action="store_true", help="write the similarities into the folder")
+    p.add_argument("-ic", "--initClustering", action="store_true", help="cluster the terms and write the clustering into the folder")
     p.add_argument("--query", help="SQL over ILL, INFO and TREAT")
     p.add_argument("--relaxed", action="store_true", help="relax the query")
     p.add_argument("--html", action="store_true", help="print the answer as an HTML table")
@@ -59,19 +61,17 @@ def main(argv: list[str] | None = None) -> int:
     store = Store(spark, a.path, FragmentationSpec())
     if a.recreateTables:
         store.drop()
-    if a.similarities:
-        sim = similarity.canonical(files.read_similarities(spark, a.similarities))
-    elif a.lengths:
-        sim = similarity.from_lengths(files.read_path_lengths(spark, a.lengths))
-    else:
-        sim = similarity.example(spark)
-    terms = files.read_terms(spark, a.terms) if a.terms else similarity.terms_of(sim)
-    if a.count:
-        terms = terms.orderBy("term").limit(a.count)
+    sim, terms, cuis = files.read_model(spark, a.similarities, a.lengths, a.terms, a.count)
+    if a.initSimilarity:
+        files.write_similarities(sim, f"{a.path}/similarities")
+    stored = f"{a.path}/clustering"
+    if a.initClustering:
+        files.write_clustering(cluster(terms, sim, a.alpha), stored)
     if a.clearTables:
         store.clear()
     if a.scalingFactor:
-        engine = Engine.build(spark, a.path, generate(spark, terms, a.scalingFactor), sim, terms, a.alpha, layout=a.layout)
+        made = files.read_clustering(spark, stored) if a.initClustering else cluster(terms, sim, a.alpha)
+        engine = Engine.from_clustering(spark, a.path, generate(spark, terms, a.scalingFactor), made, sim, layout=a.layout, cuis=cuis)
     else:
         engine = Engine(spark, store, a.layout)
     engine.register(fragments=True)

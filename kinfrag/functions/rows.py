@@ -16,12 +16,19 @@ def string_rows(df: DataFrame, limit: int | None = None) -> list[list[str | None
 
 
 def html_table(df: DataFrame, limit: int | None = None) -> str:
-    """An HTML table of the rows, a line of column names first; values are escaped."""
-    def line(tag: str, values: Sequence[str | None]) -> str:
-        return "<TR>" + "".join(f"<{tag}>{html.escape(str(v)) if v is not None else 'null'}</{tag}>" for v in values) + "</TR>"
+    """An HTML table of the rows under a head of column names; values are escaped, nulls have an empty cell of class ``null``."""
 
-    rows = "".join(line("TD", r) for r in string_rows(df, limit))
-    return f"<P ALIGN='center'><TABLE BORDER=1>{line('TH', df.columns)}{rows}</TABLE></P>"
+    def cell(value: str | None) -> str:
+        return "<td class='null'></td>" if value is None else f"<td>{html.escape(value)}</td>"
+
+    head = "".join(f"<th scope='col'>{html.escape(c)}</th>" for c in df.columns)
+    body = "\n".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in string_rows(df, limit))
+    return f"<table class='answer'>\n<thead><tr>{head}</tr></thead>\n<tbody>\n{body}\n</tbody>\n</table>"
+
+
+def note(text: str) -> str:
+    """A line of HTML that stands in the place of an answer."""
+    return f"<p class='note'>{html.escape(text)}</p>"
 
 
 def quoted(value: str) -> str:

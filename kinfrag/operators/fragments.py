@@ -29,3 +29,11 @@ def localized(fragmented: DataFrame, spec: FragmentationSpec, union_distinct: bo
     """The primary relation from all fragments; with ``union_distinct`` as a union that drops equal rows."""
     rows = fragmented.drop("frag_id")
     return rows.distinct() if union_distinct else rows
+
+
+def with_cuis(rows: DataFrame, cuis: DataFrame, spec: FragmentationSpec) -> DataFrame:
+    """``rows`` of the primary relation with the identifier of their term (``term``, ``cui``) where they have none."""
+    known = cuis.groupBy(F.col("term").alias(spec.attribute)).agg(F.max("cui").alias("_known"))
+    if known.count() <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    return rows.join(known, spec.attribute, "left").withColumn("cui", F.coalesce("cui", "_known")).select(*rows.columns)

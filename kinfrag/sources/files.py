@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfrag.operators.clustering import Clustering
+from kinfrag.operators import similarity
+from kinfrag.operators.clustering import Clustering, cluster
+from kinfrag.schema import SIM
 
 #: Fixed values of the similarity file and of the descriptor labels.
 SEPARATOR, LANGUAGE, PREFIX = "<>", "@en", "http://id.nlm.nih.gov/mesh/"
@@ -104,6 +108,40 @@ def sample_terms(terms: DataFrame, count: int, seed: int = 1) -> DataFrame:
     return terms.select("term").distinct().orderBy(F.xxhash64(F.lit(seed), "term"), "term").limit(count)
 
 
+def write_similarities(sim: DataFrame, path: str) -> None:
+    """``term1|term2|simvalue`` lines."""
+    sim.select("term1", "term2", "simvalue").write.mode("overwrite").option("sep", "|").csv(path)
+
+
+def read_written_similarities(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_similarities`` has written."""
+    return spark.read.schema(SIM).option("sep", "|").csv(path)
+
+
+def read_model(spark: SparkSession, similarities: str | None = None, lengths: str | None = None, terms: str | None = None, count: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Similarities, terms and their identifiers (None if unknown) of files; of the example where there are none."""
+    cuis = None
+    if similarities:
+        pairs = read_similarities(spark, similarities)
+        sim, cuis = similarity.canonical(pairs), terms_with_cuis(pairs)
+    elif lengths:
+        sim = similarity.from_lengths(read_path_lengths(spark, lengths))
+    else:
+        sim = similarity.example(spark)
+    own = read_terms(spark, terms) if terms else similarity.terms_of(sim)
+    return sim, own.orderBy("term").limit(count) if count else own, cuis
+
+
+def precompute(terms: DataFrame, sim: DataFrame, alpha: float, counts: Iterable[int], path: str) -> dict[int, str]:
+    """Cluster the first so many terms for each of ``counts`` (0 for all), write the clusterings, and say where they are."""
+    found = {}
+    for count in counts:
+        own = terms.orderBy("term").limit(count) if count else terms
+        found[count] = f"{path}/clustering-{count or 'all'}-{alpha}"
+        write_clustering(cluster(own, sim, alpha), found[count])
+    return found
+
+
 def write_clustering(clustering: Clustering, path: str) -> None:
     clustering.membership.withColumn("alpha", F.lit(clustering.alpha)).coalesce(1).write.mode("overwrite").parquet(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Persons and draws of diseases for a scale factor of 1; the one prescription; ages are below ``AGES``.
-PERSONS, DRAWS, PRESCRIPTION, AGES = 50, 100, "Prescr.XY.01", 120
+PERSONS, DRAWS, PRESCRIPTION, AGES = 50, 100, "rest and tea", 120
 
 GIVEN = ("Ada", "Ben", "Cleo", "Dan", "Eve", "Finn", "Gail", "Hugo", "Iris", "Jan")
 FAMILY = ("Abel", "Berg", "Cole", "Dorn", "Esser", "Falk", "Gram", "Hahn", "Ivers", "Jost")
