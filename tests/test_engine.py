@@ -75,7 +75,7 @@ def test_scans_are_pruned(engines):
     made, _ = engines
     plan = made.sql(Q["exact_q4"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(frag_id") == 3
-    assert made.explain_routing(Q["exact_q2"]).fragments == {"i1": [0], "i2": [2], "p": [0]}
+    assert made.explain_routing(Q["exact_q2"]).fragments == {"one": [0], "two": [2], "who": [0]}
 
 
 @pytest.mark.parametrize(
