@@ -8,9 +8,9 @@ Documents with the same set (by a hash of 128 bits) are one class, which has a n
 classes go on. In each bucket every class is
 compared with the bucket's hub (the class that meets most others) on full sets. Buckets whose members
 are then not all connected are settled exactly: all their members' sets meet in one task, which
-counts common shingles through an index of them. A bucket too large for a task is first split by its
-rarest shingles: two sets can only be similar if they share one of the first quarter of theirs, ordered
-by how many members have them, so a passage that all members have parts nobody from a partner. What is
+counts common shingles through an index of them. Buckets too large for a task are pooled, each class once,
+and split by rarest shingles: two sets can only be similar if they share one of the first quarter of theirs, ordered
+by how many classes have them, so a passage that all have parts nobody from a partner. What is
 still too large after that meets block by block. Only links of a spanning forest are returned, never
 all pairs.
 """
@@ -217,19 +217,19 @@ def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def split_by_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Buckets of those members of a bucket that share one of their rarest shingles there: ``key``, ``node`` and ``n``.
+def split_by_shingles(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Buckets of those ``classes`` (``node`` and ``n``) that share one of their rarest shingles: ``key``, ``node`` and ``n``.
 
-    Members that are similar share one: of a set of n, all but ``PERCENT`` percent and one more are looked at.
+    Classes that are similar share one: of a set of n, all but ``PERCENT`` percent and one more are looked at.
     """
-    terms = members.select("key", "node", "n").join(sets, "node").select("key", "node", "n", F.explode("shingles").alias("term"))
+    terms = classes.join(sets, "node").select("node", "n", F.explode("shingles").alias("term"))
     terms = terms.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    often = terms.groupBy("key", "term").agg(F.count("*").alias("often")).where("often > 1")
+    often = terms.groupBy("term").agg(F.count("*").alias("often")).where("often > 1")
     often = often.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    order = Window.partitionBy("key", "node").orderBy(F.coalesce("often", F.lit(1)), "term")
-    placed = terms.join(often, ["key", "term", "salt"], "left").withColumn("place", F.row_number().over(order))
+    order = Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "term")
+    placed = terms.join(often, ["term", "salt"], "left").withColumn("place", F.row_number().over(order))
     prefix = F.col("n") - F.expr(f"(n * {PERCENT} + 99) div 100") + 1
-    return placed.where((F.col("place") <= prefix) & F.col("often").isNotNull()).select(F.xxhash64(F.lit("term"), "key", "term").alias("key"), "node", "n")
+    return placed.where((F.col("place") <= prefix) & F.col("often").isNotNull()).select(F.xxhash64(F.lit("term"), "term").alias("key"), "node", "n")
 
 
 def bucket_tasks(members: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -288,7 +288,9 @@ def grouped_documents(docs: DataFrame) -> DataFrame:
     tasks = bucket_tasks(members, buckets.where("blocks = 1"))
     large = buckets.where("blocks > 1").select("key")
     if not large.isEmpty():
-        parts = materialize(split_by_shingles(members.join(large, "key"), sets), "near-parts")
+        # The same classes meet in a large bucket of many tables: all large buckets are split together, once.
+        pooled = members.join(large, "key").select("node", "n").distinct()
+        parts = materialize(split_by_shingles(pooled, sets), "near-parts")
         tasks = tasks.unionByName(bucket_tasks(parts, open_buckets(parts, roots)))
     more = settle(tasks.join(sets, "node"))
     found = components(links.unionByName(more))
