@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from kinfrag.operators.similarity import symmetric
@@ -14,6 +14,8 @@ from kinfrag.schema import MEMBERSHIP, UNASSIGNED
 
 #: Pairs of terms up to which heads are found on the driver, from the collected table.
 DRIVER_PAIRS = 1_000_000
+#: Least similar terms that a distributed round takes heads from, at most; heads that are broadcast, at most.
+ROUND, BROADCAST = 256, 200_000
 
 
 @dataclass(frozen=True)
@@ -85,34 +87,59 @@ def _on_driver(terms: DataFrame, sim: DataFrame, alpha: float) -> DataFrame:
     return terms.sparkSession.createDataFrame(rows, MEMBERSHIP)
 
 
+def _next_heads(low: list[Row], value: dict[tuple[str, str], float], alpha: float, number: int) -> list[tuple[int, str]]:
+    """The heads from ``number`` on that the least similar terms ``low`` settle, in order; the last of more than ``ROUND`` only bounds the rest.
+
+    A term's place (``best``, ``cluster_id``, ``term``) never falls, so a head is the next one while it lies under that of the
+    first term left out. All terms of similarity 0 are in the last cluster, so they follow it in the order of their names.
+    """
+    best = {r["term"]: (r["best"], r["cluster_id"]) for r in low[:ROUND]}
+    rest = low[ROUND] if len(low) > ROUND else None
+    heads: list[tuple[int, str]] = []
+    while best:
+        (least, own), term = min((b, t) for t, b in best.items())
+        if least >= alpha:
+            break
+        if rest is not None:
+            last = number + len(heads) - 1 if rest["best"] == 0 else rest["cluster_id"]
+            if (least, own, term) > (rest["best"], last, rest["term"]):
+                break
+        del best[term]
+        for t, (s, _) in best.items():
+            if value.get((term, t), 0.0) >= s:
+                best[t] = (value.get((term, t), 0.0), number + len(heads))
+        heads.append((number + len(heads), term))
+    return heads
+
+
 def _distributed(terms: DataFrame, sim: DataFrame, alpha: float) -> DataFrame:
     spark = terms.sparkSession
     both = materialize(symmetric(sim), "cluster-sim")
 
-    def similar_to(head: str) -> DataFrame:
-        return both.where(F.col("term1") == head).select(F.col("term2").alias("term"), F.col("simvalue").alias("s"))
-
-    heads = [terms.agg(F.min("term")).first()[0]]
-    state = terms.where(F.col("term") != heads[0]).join(similar_to(heads[0]), "term", "left")
-    state = state.select("term", F.coalesce("s", F.lit(0.0)).alias("best"), F.lit(0).alias("cluster_id"))
+    def moved(state: DataFrame, new: list[tuple[int, str]]) -> DataFrame:
+        """The terms but for the ``new`` heads (``ROUND`` at most), each with the last head that it is as similar to as any."""
+        named = F.broadcast(spark.createDataFrame(new, "number int, head string"))
+        near = both.join(named, both["term2"] == named["head"]).groupBy(F.col("term1").alias("term")).agg(F.max(F.struct(F.col("simvalue").alias("s"), "number")).alias("near"))
+        unknown = F.struct(F.lit(0.0).alias("s"), F.lit(new[-1][0]).alias("number"))
+        at = F.greatest(F.struct(F.col("best").alias("s"), F.col("cluster_id").alias("number")), unknown, F.col("near"))
+        left = state.join(named, state["term"] == named["head"], "left_anti").join(near, "term", "left")
+        return materialize(left.select("term", at.alias("at")).select("term", F.col("at.s").alias("best"), F.col("at.number").alias("cluster_id")), "cluster-state")
+
+    heads = [(0, terms.agg(F.min("term")).first()[0])]
+    state = moved(terms.select("term", F.lit(0.0).alias("best"), F.lit(0).alias("cluster_id")), heads)
     while True:
-        state = materialize(state, "cluster-state")
-        low = state.agg(F.min(F.struct("best", "cluster_id", "term"))).first()[0]
-        if low is None or low["best"] >= alpha:
+        low = state.orderBy("best", "cluster_id", "term").limit(ROUND + 1).collect()
+        if not low or low[0]["best"] >= alpha:
             break
-        number = len(heads)
-        heads.append(low["term"])
-        s = F.coalesce("s", F.lit(0.0))
-        moved = s >= F.col("best")
-        state = (
-            state.where(F.col("term") != low["term"])
-            .join(similar_to(low["term"]), "term", "left")
-            .select("term", F.when(moved, s).otherwise(F.col("best")).alias("best"), F.when(moved, number).otherwise(F.col("cluster_id")).alias("cluster_id"))
-        )
-    named = spark.createDataFrame(list(enumerate(heads)), "cluster_id int, head string")
-    own = named.select("cluster_id", "head", F.col("head").alias("term"), F.lit(True).alias("is_head"))
-    rest = state.join(F.broadcast(named), "cluster_id").select("cluster_id", "head", "term", F.lit(False).alias("is_head"))
-    return materialize(own.unionByName(rest), "cluster-membership")
+        own = F.broadcast(spark.createDataFrame([(r["term"],) for r in low[:ROUND]], "term string"))
+        among = both.join(own, both["term1"] == own["term"], "left_semi").join(own, both["term2"] == own["term"], "left_semi")
+        new = _next_heads(low, {(r["term1"], r["term2"]): r["simvalue"] for r in among.collect()}, alpha, len(heads))
+        heads += new
+        state = moved(state, new)
+    named = spark.createDataFrame(heads, "cluster_id int, head string")
+    made = named.select("cluster_id", "head", F.col("head").alias("term"), F.lit(True).alias("is_head"))
+    rest = state.join(F.broadcast(named) if len(heads) <= BROADCAST else named, "cluster_id").select("cluster_id", "head", "term", F.lit(False).alias("is_head"))
+    return materialize(made.unionByName(rest), "cluster-membership")
 
 
 def identify(terms: DataFrame, heads: DataFrame, sim: DataFrame) -> DataFrame:

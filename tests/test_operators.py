@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kinfrag.operators import clustering, similarity, taxonomy
@@ -83,6 +84,40 @@ def test_random_taxonomies(spark, monkeypatch, seed):
         assert taxonomy.path_lengths(frame, terms, longest=2).agg(F.max("length")).first()[0] == 2
 
 
+@pytest.mark.parametrize("most", (1, 2, 3, 7, 100))
+def test_heads_of_a_round(monkeypatch, most):
+    monkeypatch.setattr(clustering, "ROUND", most)
+    for seed in range(60):
+        rng = random.Random(seed)
+        names = [f"t{i:02d}" for i in range(rng.randint(2, 25))]
+        known = {(a, b): rng.choice((0.0, 0.0, 0.0, 0.1, 0.2, 0.25, 0.5)[rng.randint(0, 3) :]) for a in names for b in names if a < b}
+        both = {(a, b): known[min(a, b), max(a, b)] for a in names for b in names if a != b}
+        state, heads, rounds = {t: (0.0, 0) for t in names}, [(0, names[0])], 0
+        new = heads
+        while new:
+            for n, h in new:
+                del state[h]
+                state = {t: (both[h, t], n) if both[h, t] >= s else (s, c) for t, (s, c) in state.items()}
+            low = [Row(best=s, cluster_id=c, term=t) for (s, c), t in sorted((v, t) for t, v in state.items())]
+            new = clustering._next_heads(low[: most + 1], both, 0.2, len(heads))
+            heads, rounds = heads + new, rounds + 1
+        assert [(h, {h} | {t for t, (_, c) in state.items() if c == n}) for n, h in heads] == model(names, known, 0.2)
+        assert most < 100 or rounds <= 2
+
+
+def test_distributed_rounds_of_sparse_similarities(spark, monkeypatch):
+    edges, names = random_taxonomy(5)
+    terms = spark.createDataFrame([(t,) for t in names], "term string")
+    lengths = taxonomy.path_lengths(spark.createDataFrame(edges, "child string, parent string"), terms, longest=3)
+    sim = similarity.from_lengths(lengths)
+    want = read(cluster(terms, sim, 0.3))
+    monkeypatch.setattr(clustering, "DRIVER_PAIRS", 0)
+    for most, least in ((4, 0), (256, 200_000)):
+        monkeypatch.setattr(clustering, "ROUND", most)
+        monkeypatch.setattr(clustering, "BROADCAST", least)
+        assert read(cluster(terms, sim, 0.3)) == want
+
+
 def test_cluster_bounds_and_statistics(spark):
     sim = similarity.example(spark)
     terms = similarity.terms_of(sim)
