@@ -6,7 +6,7 @@ probability is the sum over all ways to cut it into pieces, by a forward pass ov
 text's is the product over its words. Nothing is decided by a single best segmentation.
 
 Probabilities come from expectation steps (forward and backward) over the word counts of a bounded
-sample of labelled rows, ``SAMPLE`` of each language, picked by a hash; priors count all labelled
+sample of labelled rows, about ``SAMPLE`` of each language, picked by a hash; priors count all labelled
 rows. The languages are the ``LANGUAGES`` values of ``lang`` with most labelled rows. Words are worked
 on in batches of one length as arrays: the pieces at all places of all words are looked up at once by
 rolling hashes, which go on only while they begin a piece. Words may have any length: sums are scaled
@@ -36,7 +36,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Letters after which sums are scaled.
 SLAB = 16
-#: Labelled rows to learn from, of each language, at most; expectation steps; added to each count.
+#: Labelled rows to learn from, of each language, about; expectation steps; added to each count.
 SAMPLE, STEPS, SMOOTHING = 10_000, 2, 0.01
 #: Languages that are learned, at most: a bound on the model's size.
 LANGUAGES = 256
