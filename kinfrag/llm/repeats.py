@@ -14,7 +14,7 @@ Names are 64-bit hashes of two independent families, compared together; ranks in
 would say no more about equality. ``ranked_spans`` is the plain method, all positions sorted by rank pairs; it gives the same spans
 and moves too much for large inputs (see the README). Names of one anchor with many occurrences are counted before they are
 shuffled. Surroundings with one anchor meet in a task if there are at most ``LARGE`` of them, else
-their windows are counted as rows of their own.
+their windows are counted as rows of their own, and the unique ones are told to their anchor.
 """
 
 from __future__ import annotations
@@ -81,21 +81,29 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, schema)
 
 
+AROUND = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.int32()), ("around", pa.binary())])
+
+
+def bytes_around(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Per text of rows of ``k1``, ``k2``, ``text`` and ``anchors``: the bytes around its anchors; ``left`` of them are before it."""
+    for i in range(batch.num_rows):
+        k1, k2, text, own = (batch.column(j)[i].as_py() for j in range(4))
+        raw = text.encode()
+        yield pa.RecordBatch.from_pylist(
+            [
+                {"h": a["h"], "g": a["g"], "n": a["n"], "k1": k1, "k2": k2, "at": a["at"], "first": a["first"], "last": a["last"], "left": min(a["at"], SPAN - 1), "around": raw[max(0, a["at"] - SPAN + 1) : a["at"] + WINDOW]}
+                for a in own
+            ],
+            schema=AROUND,
+        )
+
+
 def surroundings(texts: DataFrame) -> DataFrame:
-    """The bytes around anchors, of rows of ``k1``, ``k2``, ``text`` and ``anchors``; ``left`` of them are before it."""
+    """``bytes_around`` of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                k1, k2, text, own = (batch.column(j)[i].as_py() for j in range(4))
-                raw = text.encode()
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {"h": a["h"], "g": a["g"], "n": a["n"], "k1": k1, "k2": k2, "at": a["at"], "first": a["first"], "last": a["last"], "left": min(a["at"], SPAN - 1), "around": raw[max(0, a["at"] - SPAN + 1) : a["at"] + WINDOW]}
-                        for a in own
-                    ],
-                    schema=pa.schema([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.int32()), ("around", pa.binary())]),
-                )
+            yield from bytes_around(batch)
 
     return texts.select("k1", "k2", "text", "anchors").mapInArrow(run, "h long, g long, n long, k1 long, k2 long, at int, first int, last int, left int, around binary")
 
@@ -170,21 +178,43 @@ def settle(around: DataFrame) -> DataFrame:
     return around.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
-def settle_large(around: DataFrame) -> DataFrame:
-    """The same for anchors with any number of surroundings: windows are rows, counted by name."""
-    schema = T._parse_datatype_string("one long, two long, k1 long, k2 long, place int, n long")
+def settle_large(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """The same for anchors with any number of surroundings: windows are rows, counted by name.
+
+    ``texts`` has ``k1``, ``k2``, ``text`` and ``anchors``; ``own`` those that occur once: ``k1``, ``k2``, ``at``, ``first``
+    and ``last``. Only windows that are unique are told to their anchor, by the count itself; its other windows are
+    repeated. So the windows of a group of any size are summed before they move, and none is joined with others of its name.
+    """
+    schema = T._parse_datatype_string("one long, two long, k1 long, k2 long, at int, place int, n long")
+
+    def named(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        for i in range(0, whole.num_rows, TOGETHER):
+            table = whole.slice(i, TOGETHER)
+            one, two, row, place = window_names(table)
+            take = lambda c, row=row, table=table: table.column(c).combine_chunks().take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), take("k1"), take("k2"), take("at"), pa.array(place.astype(np.int32)), take("n")], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, TOGETHER):
-                table = pa.Table.from_batches([batch.slice(i, TOGETHER)])
-                one, two, row, place = window_names(table)
-                take = lambda c, row=row, table=table: table.column(c).combine_chunks().take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), take("k1"), take("k2"), pa.array(place.astype(np.int32)), take("n")], names=schema.names)
+            for part in bytes_around(batch):
+                held.append(part)
+                rows += part.num_rows
+                if rows >= TOGETHER:
+                    yield from named(held)
+                    held, rows = [], 0
+        if rows:
+            yield from named(held)
 
-    windows = around.mapInArrow(run, schema)
-    again = windows.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1")
-    return windows.where("n = 1").join(again, ["one", "two"]).select("k1", "k2", F.col("place").alias("first"), F.col("place").alias("last"))
+    counted = texts.select("k1", "k2", "text", "anchors").mapInArrow(run, schema).groupBy("one", "two").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("k1", "k2", "at", "place", "n")))
+    alone = counted.where("times = 1 and n = 1").select("k1", "k2", "at", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), "place")
+    each = own.withColumn("place", F.lit(None).cast("int")).unionByName(alone).groupBy("k1", "k2", "at").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.collect_list("place").alias("alone"))
+    # What lies between the unique windows, and before and after them.
+    ends = F.array_sort(F.concat("alone", F.array(F.col("first") - 1, F.col("last") + 1)))
+    gaps = F.expr("filter(zip_with(slice(ends, 1, size(ends) - 1), slice(ends, 2, size(ends) - 1), (a, b) -> struct(a + 1 as first, b - 1 as last)), x -> x.first <= x.last)")
+    return each.withColumn("ends", ends).select("k1", "k2", F.inline(gaps))
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -209,11 +239,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     rep = F.min(F.struct("k1", "k2", "at", "first", "last")).alias("rep")
     asked = rows.where("g > 1").groupBy("h", "c").agg(F.first("g").alias("g"), F.first("n").alias("n"), rep).select("h", "g", "n", "rep.*")
-    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "n", "at", "first", "last")).alias("anchors"))
-    around = surroundings(texts.join(asked.hint("merge"), ["k1", "k2"]))
-    some = settle(around.where(F.col("g") <= LARGE))
+
+    def with_anchors(some: DataFrame) -> DataFrame:
+        anchors = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "n", "at", "first", "last")).alias("anchors"))
+        return texts.join(anchors.hint("merge"), ["k1", "k2"])
+
+    some = settle(surroundings(with_anchors(asked.where(F.col("g") <= LARGE))))
     if (known.agg(F.max("g")).first()[0] or 0) > LARGE:
-        some = some.unionByName(settle_large(around.where(F.col("g") > LARGE)))
+        own = rows.where((F.col("g") > LARGE) & (F.col("n") == 1)).select("k1", "k2", "at", "first", "last")
+        some = some.unionByName(settle_large(with_anchors(asked.where(F.col("g") > LARGE)), own))
     return merged(rows.where("n > 1").select("k1", "k2", "first", "last").unionByName(some))
 
 

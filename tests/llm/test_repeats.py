@@ -85,6 +85,21 @@ def test_a_document_of_many_spans(spark):
     check(spark, [(1, "".join(passage + text(30) for _ in range(1500))), (2, text(500))])
 
 
+def test_windows_of_a_large_group_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE", 3)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    docs = [(i, base[: 20 * i] + chr(65 + i) + base[20 * i + 1 :] + str(i)) for i in range(25)]
+    docs += [(30, base), (31, base), (32, base[:230] + "!" + base[231:])]
+    made = []
+    monkeypatch.setattr(repeats, "settle_large", lambda *a, whole=repeats.settle_large: made.append(whole(*a)) or made[0])
+    check(spark, docs)
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert made[0].count() and "place" in plan and not any("Join" in x and ("one#" in x or "place#" in x) for x in plan.splitlines())
+    # Runs, not windows, leave it: at most one more for each anchor than it has unique stretches.
+    assert made[0].where("first > last").isEmpty() and made[0].where("last > first").count() > 0
+
+
 def test_empty(spark):
     check(spark, [])
     check(spark, [(1, "x" * 199), (2, None)])
