@@ -1,16 +1,20 @@
-"""Main text of web pages: landmarks first, then the host's suffix array.
+"""Main text of web pages: the host's suffix array over whole pages, then an exact check by landmarks.
 
-A page is cut into blocks at block-level tags. Blocks inside a landmark are decided by it: those of
+A page is cut into blocks at block-level tags. Blocks inside a landmark are told by it: those of
 ``article`` or ``main`` are content, those of menus, headers, footers, sidebars, notices, adverts,
-forms and comments are not, and where a page has content landmarks, nothing outside them is. Elements and
-roles are landmarks; the names of a class or id are only for containers, and never speak against an element.
-
-All other blocks of a page form its token stream, with marks before its begin and after its end. Positions
-of all streams are ranked by prefix doubling (``suffix_ranks``), as the host's suffix array has them:
-symbols are words of a host, so strings of different hosts differ. Strings of ``LENGTH`` tokens
-that stand on two distinct pages (by their html) are boilerplate; the words that they cover go, unique
-runs stay. The marks let shorter strings count where they begin or end a page, from ``LEAST`` words on.
-
+forms and comments are not. Elements and roles are landmarks; the names of a class or id are only for
+containers, and never speak against an element. The blocks of a page in content, in other landmarks and in
+none are three parts; each is a token stream, with marks before its begin and after its end.
+
+All streams of all pages are in the array. Symbols are words of a host, so strings of different hosts differ. Positions are named
+at doubling lengths up to half of ``LENGTH`` (by hashes of the pairs of the halves' names). A string's anchor is the least name
+in it, so equal strings have equal anchors: a position whose anchor is on one page only, or in content only, is given up, and nothing
+is lost by it. What is left has the last round of ``suffix_ranks``: Spark sorts the pairs of names and ranks them. Strings of
+``LENGTH`` tokens that stand on two distinct pages (by their html), but nowhere in content, are boilerplate; the
+words that they cover go, unique runs stay. The marks let shorter strings count where they begin or end a part, from
+``LEAST`` words on.
+
+The check: where a page has content landmarks nothing outside them stays, and what other landmarks hold never does.
 The suffix array alone can't give right results where menus and adverts are new on each page (nothing
 repeats) and passages of articles repeat across pages (they would go); see the README for figures.
 """
@@ -24,19 +28,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfrag.llm.suffix_ranks import suffix_ranks
+from kinfrag.llm.suffix_ranks import reranked
 from kinfrag.llm.textbytes import mixed, span_hashes
 from kinfrag.llm.url_filter import host_and_path
-from kinfrag.plans.scratch import materialize
+from kinfrag.plans.scratch import mark, materialize, sweep
 
 #: Tokens of a string that is boilerplate if it stands on two pages, and words that it must have.
 LENGTH, LEAST = 16, 4
-#: Covered places of all pages that are broadcast, at most.
-BROADCAST = 500_000
+#: Tokens that a position's name stands for before Spark ranks pairs of names.
+GRAM = LENGTH // 2
+#: Covered places of all pages, and anchors that repeat, that are broadcast, at most.
+BROADCAST, KNOWN = 500_000, 4_000_000
+#: Pages whose strings are worked on together.
+ROWS = 512
+#: Parts of a page, each a stream of its own: blocks in content, in other landmarks, in none.
+IN_CONTENT, IN_ASIDE, IN_NONE = 0, 1, 2
 
 # Fixed values of HTML.
 RAW = "script style textarea title noscript iframe template noembed noframes xmp svg math select button object canvas audio video".split()
@@ -154,48 +165,132 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def undecided(found: list[Block]) -> list[int]:
-    """The blocks that the suffix array decides: none if a landmark of the page has content."""
-    return [] if any(b.content for b in found) else [i for i, b in enumerate(found) if b.content is None]
+def parts(found: list[Block]) -> Iterator[tuple[int, list[int]]]:
+    """Of each part of a page that has words: the part and its blocks."""
+    for part, said in ((IN_CONTENT, True), (IN_ASIDE, False), (IN_NONE, None)):
+        own = [i for i, block in enumerate(found) if block.content is said]
+        if own:
+            yield part, own
+
 
+def named(tokens: np.ndarray) -> np.ndarray:
+    """Names of the ``GRAM`` tokens from each position on, by doubling: a name of two halves' names at a time."""
+    size = 1
+    while size < GRAM:
+        tokens = mixed(mixed(tokens[:-size] + np.uint64(size)) + tokens[size:])
+        size *= 2
+    return tokens
 
-def stream(found: list[Block]) -> tuple[list[str], np.ndarray]:
-    """The words of the undecided blocks, and which block each belongs to."""
-    words, owner = [], []
-    for i in undecided(found):
-        own = found[i].text.split(" ")
-        words += own
-        owner += [i] * len(own)
-    return words, np.array(owner, np.int64)
 
+def least(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of ``span`` values from each place on."""
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        values = np.minimum(values[:-step], values[step:])
+        size += step
+    return values
 
-def padding(words: int) -> int:
-    """Marks on either side of a stream: as many as leave ``LEAST`` words, or all there are, to every string."""
-    return LENGTH - min(LEAST, words)
 
+@dataclass
+class Strings:
+    """The strings of ``LENGTH`` tokens of some pages: of each its anchor, its place among all tokens, in its stream and the stream."""
+
+    keys: list[np.ndarray]  # host, k1 and k2 of each stream
+    part: np.ndarray  # of each stream
+    names: np.ndarray  # of each token
+    anchor: np.ndarray
+    at: np.ndarray
+    pos: np.ndarray
+    stream: np.ndarray
 
-def symbols(pages: DataFrame) -> DataFrame:
-    """Tokens of the streams of rows of ``host``, ``k1``, ``k2``, ``html``: ``host``, ``k1``, ``k2``, ``pos`` (0 at the first word) and ``symbol``."""
-    schema = T._parse_datatype_string("host long, k1 long, k2 long, pos int, symbol long")
+
+def strings(pages: pa.RecordBatch) -> Iterator[Strings]:
+    """The strings of the streams of rows of ``host``, ``k1``, ``k2``, ``html``, ``ROWS`` pages at a time.
+
+    On either side of a stream stand as many marks as leave ``LEAST`` words, or all there are, to every string.
+    """
+    for above in range(0, pages.num_rows, ROWS):
+        rows = pages.slice(above, ROWS)
+        texts, row, part = [], [], []
+        for i, page in enumerate(rows.column(3).to_pylist()):
+            found = blocks(page)
+            for kind, own in parts(found):
+                texts.append(" ".join([found[j].text for j in own]))
+                row.append(i)
+                part.append(kind)
+        if not texts:
+            continue
+        data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+        gaps = np.flatnonzero(data == 0x20)
+        words = mixed(span_hashes(data, np.append(0, gaps + 1), np.append(gaps, len(data))))
+        keys = [rows.column(j).to_numpy()[row] for j in range(3)]
+        n = np.array([t.count(" ") + 1 for t in texts], np.int64)
+        pad = LENGTH - np.minimum(LEAST, n)
+        size = n + 2 * pad
+        stream = np.repeat(np.arange(len(n)), size)
+        place = np.arange(len(stream)) - (np.cumsum(size) - size)[stream]
+        before, after = place < pad[stream], place >= (pad + n)[stream]
+        tokens = np.where(before, np.uint64(1), np.uint64(2))
+        tokens[~before & ~after] = words
+        names = named(mixed(tokens + mixed(keys[0].view(np.uint64))[stream]))
+        # Names of marks alone are no anchors.
+        rest = slice(0, len(names))
+        anchor = least(np.where((place[rest] + GRAM <= pad[stream[rest]]) | after[rest], np.uint64(2**64 - 1), names), LENGTH - GRAM + 1)
+        at = np.flatnonzero(place[: len(anchor)] <= (size - LENGTH)[stream[: len(anchor)]])
+        yield Strings(keys, np.array(part, np.int32), names.view(np.int64), anchor[at].view(np.int64), at, (place - pad[stream])[at], stream[at])
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """The anchors of all streams of rows of ``host``, ``k1``, ``k2``, ``html``: ``anchor``, ``page`` (a number of it) and ``outside`` (1 if not in content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                words, _ = stream(blocks(batch.column(3)[i].as_py() or ""))
-                if words:
-                    raw = [w.encode() for w in words]
-                    ends = np.cumsum([len(r) for r in raw]).astype(np.int64)
-                    names = span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-                    host = np.uint64(batch.column(0)[i].as_py() % 2**64)
-                    pad = padding(len(words))
-                    before, after = np.full(pad, 1, np.uint64), np.full(pad, 2, np.uint64)
-                    named = mixed(np.concatenate([before, mixed(names), after]) + mixed(np.full(1, host)))
-                    same = [pa.array(np.full(len(named), batch.column(j)[i].as_py(), np.int64)) for j in range(3)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(-pad, len(words) + pad, dtype=np.int32)), pa.array(named.view(np.int64))], names=schema.names)
+            for s in strings(batch):
+                # Neighbours mostly share their anchor.
+                new = np.append(True, (s.anchor[1:] != s.anchor[:-1]) | (s.stream[1:] != s.stream[:-1]))
+                stream = s.stream[new]
+                page = s.keys[1].view(np.uint64) ^ mixed(s.keys[2].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(s.anchor[new]), pa.array(page.view(np.int64)[stream]), pa.array((s.part != IN_CONTENT).astype(np.int32)[stream])], names=["anchor", "page", "outside"])
+
+    return pages.select("host", "k1", "k2", "html").mapInArrow(run, "anchor long, page long, outside int")
+
+
+def pairs(pages: DataFrame, known: Broadcast | None) -> DataFrame:
+    """Strings of all streams whose anchor is among ``known`` (sorted; all if none): ``host``, ``k1``, ``k2``, ``part``, ``pos`` (0 at the first word), ``anchor``, and the names ``a`` and ``b`` of the two halves."""
+    schema = T._parse_datatype_string("host long, k1 long, k2 long, part int, pos int, anchor long, a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in strings(batch):
+                if known is None:
+                    alive = np.ones(len(s.at), bool)
+                elif len(known.value):
+                    alive = known.value[np.minimum(np.searchsorted(known.value, s.anchor), len(known.value) - 1)] == s.anchor
+                else:
+                    continue
+                at, stream = s.at[alive], s.stream[alive]
+                out = [*(k[stream] for k in s.keys), s.part[stream], s.pos[alive].astype(np.int32), s.anchor[alive], s.names[at], s.names[at + GRAM]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=schema.names)
 
     return pages.select("host", "k1", "k2", "html").mapInArrow(run, schema)
 
 
+def repeated(pages: DataFrame) -> DataFrame:
+    """Strings on two distinct pages of a host and nowhere in content: ``host``, ``k1``, ``k2``, ``part`` and ``pos``."""
+    counted = anchors(pages).groupBy("anchor").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("outside").alias("outside"))
+    again = materialize(counted.where("low != high and outside = 1").select("anchor"), "html-anchors")
+    if again.count() <= KNOWN:
+        names = np.sort(again.toArrow().column("anchor").to_numpy())
+        alive = pairs(pages, pages.sparkSession.sparkContext.broadcast(names))
+    else:
+        alive = pairs(pages, None).join(again, "anchor", "left_semi")
+    ranked = reranked(materialize(alive.drop("anchor"), "html-pairs"), ["host", "k1", "k2", "part"])
+    page = F.struct("k1", "k2")
+    boilerplate = ranked.groupBy("rank").agg(F.min(page).alias("low"), F.max(page).alias("high"), F.min("part").alias("least")).where(f"low != high and least > {IN_CONTENT}").select("rank")
+    return ranked.join(boilerplate, "rank").select("host", "k1", "k2", "part", "pos")
+
+
 def keyed(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     return pages.select("page_id", "url", F.xxhash64(host_and_path(F.col("url"))[0]).alias("host"), F.xxhash64(html).alias("k1"), F.xxhash64(F.lit("second"), html).alias("k2"), html.alias("html"))
@@ -210,11 +305,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     gives no rows; other columns are not read.
     """
     rows = keyed(pages.select("page_id", "url", "html"))
-    # Of pages with the same html one stream is ranked.
-    ranked = suffix_ranks(materialize(symbols(rows).distinct(), "html-symbols"), ["host", "k1", "k2"], LENGTH)
-    repeated = ranked.groupBy("rank").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low != high").select("rank")
-    covered = ranked.join(repeated, "rank").groupBy("host", "k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("covered"))
+    spark = pages.sparkSession
+    since = mark(spark)
+    # Parts in landmarks are covered as well, but the check after it needs no places of theirs.
+    covered = repeated(rows).where(F.col("part") == IN_NONE).groupBy("host", "k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("covered"))
     covered = materialize(covered, "html-covered")
+    sweep(spark, since, keep=1)
     small = covered.agg(F.sum(F.size("covered"))).first()[0] or 0
     joined = rows.join(F.broadcast(covered) if small <= BROADCAST else covered, ["host", "k1", "k2"], "left").select("page_id", "url", "html", "covered")
     schema = T.StructType([*(joined.schema[c] for c in ("page_id", "url")), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -231,18 +327,19 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def extracted(page: str, places: list[int] | None) -> str:
-    """The main text of a page, given where repeated strings begin in its stream."""
+    """The main text of a page, given where boilerplate begins in its blocks that are in no landmark."""
     found = blocks(page)
-    if any(b.content for b in found):
-        return "\n".join(b.text for b in found if b.content)
-    words, owner = stream(found)
-    if not words:
-        return ""
+    own = dict(parts(found))
+    # The check by landmarks: content, of which nothing is boilerplate, else what is in none.
+    if IN_CONTENT in own:
+        return "\n".join(found[i].text for i in own[IN_CONTENT])
+    words = [w for i in own.get(IN_NONE, ()) for w in found[i].text.split(" ")]
+    owner = [i for i in own.get(IN_NONE, ()) for _ in range(found[i].text.count(" ") + 1)]
     change = np.zeros(len(words) + 1, np.int64)
     for sign, at in ((1, np.array(places or [], np.int64)), (-1, np.array(places or [], np.int64) + LENGTH)):
         np.add.at(change, np.clip(at, 0, len(words)), sign)
     kept = np.cumsum(change)[:-1] == 0
     lines: dict[int, list[str]] = {}
     for i in np.flatnonzero(kept).tolist():
-        lines.setdefault(int(owner[i]), []).append(words[i])
+        lines.setdefault(owner[i], []).append(words[i])
     return "\n".join(" ".join(line) for line in lines.values())

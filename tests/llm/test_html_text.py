@@ -116,6 +116,69 @@ def test_pages_without_landmarks_equal_brute_force(spark):
     assert out[40].text == out[41].text == "" and out[42].text == "short"
 
 
+def test_all_streams_are_in_the_array(spark):
+    menu, passage = f"<p>{words('menu', 20)}</p>", f"<p>{words('told', 30)}</p>"
+    own = lambda i: f"<p>{words(f'own{i}_', 20)}</p>"
+    rows = [
+        (1, "http://a.net/1", f"<nav>{menu}</nav><article>{passage}{own(1)}</article>"),
+        (2, "http://a.net/2", menu + own(2)),  # a menu by another page's landmark
+        (3, "http://a.net/3", own(3) + passage + own(4)),  # passages of an article, on two pages without landmarks
+        (4, "http://a.net/4", own(5) + passage + own(6)),
+        (5, "http://b.net/5", menu + own(2)),  # of another host
+    ]
+    out = run(spark, rows)
+    assert out[1].text == f"{words('told', 30)}\n{words('own1_', 20)}"
+    assert out[2].text == words("own2_", 20)
+    assert [out[i].text for i in (3, 4)] == ["\n".join((words(f"own{i}_", 20), words("told", 30), words(f"own{i + 1}_", 20))) for i in (3, 5)]
+    assert out[5].text == f"{words('menu', 20)}\n{words('own2_', 20)}"
+
+
+def parts_cover(pages, length=html_text.LENGTH):
+    """Text of pages of (host, html) by brute force over all strings of all their parts."""
+    where, split = {}, []
+    for host, page in pages:
+        found, parts = html_text.blocks(page), {}
+        for said in (True, False, None):
+            own = [(i, w) for i, b in enumerate(found) if b.content is said for w in b.text.split(" ")]
+            pad = length - min(html_text.LEAST, len(own))
+            marked = ["<"] * pad + [w for _, w in own] + [">"] * pad
+            parts[said] = own, pad, [(host, *marked[p : p + length]) for p in range(len(marked) - length + 1)] if own else []
+            for x in parts[said][2]:
+                where.setdefault(x, set()).add((page, said))
+        split.append((found, parts))
+    out = []
+    for found, parts in split:
+        if parts[True][0]:
+            out.append("\n".join(b.text for b in found if b.content))
+            continue
+        own, pad, strings = parts[None]
+        gone = {q - pad for p, x in enumerate(strings) if len({page for page, _ in where[x]}) > 1 and all(said is not True for _, said in where[x]) for q in range(p, p + length)}
+        lines = {}
+        for q, (i, w) in enumerate(own):
+            if q not in gone:
+                lines.setdefault(i, []).append(w)
+        out.append("\n".join(" ".join(x) for x in lines.values()))
+    return out
+
+
+@pytest.mark.parametrize("bound", [4_000_000, 0])
+def test_pages_with_and_without_landmarks_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_text, "KNOWN", bound)
+    rng = random.Random(8)
+    run_of = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n)]
+    shared = [run_of(n) for n in (3, 4, 8, 15, 16, 17, 23, 40)]
+    pages = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            tag = rng.choice(["p", "p", "p", "nav", "footer", "article"] if i % 2 else ["p", "p", "nav"])
+            parts.append(f"<{tag}>{' '.join(rng.choice(shared) if rng.random() < 0.6 else run_of(rng.randint(1, 30)))}</{tag}>")
+        pages.append((f"h{i % 2}.net", "".join(parts)))
+    pages += [pages[5], pages[8], ("h1.net", pages[8][1])]
+    out = run(spark, [(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)])
+    assert [out[i].text for i in range(len(pages))] == parts_cover(pages)
+
+
 def test_a_very_long_page(spark):
     page = "".join(f"<p>{words(f'p{i}_', 40)}</p>" for i in range(3000))
     out = run(spark, [(1, "http://a.net/", page), (2, "http://a.net/2", f"<p>{words('p7_', 40)}</p><p>own text of this page here</p>")])
